@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +111,7 @@ def ranges(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(offsets, a, b) of a list column of (a, b) structs; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    lengths = np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    lengths = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
     flat = column.flatten()
     a, b = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
     return np.r_[0, np.cumsum(lengths)], a, b
