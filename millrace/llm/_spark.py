@@ -44,9 +44,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``_key`` long, the id column, ``_text``): one row per input row, ``_key`` unique and ordered as the ids.
+    """(``_key`` long, ``_text``) of each row, ``_key`` unique and ordered as the ids, and the id where it differs.
 
-    With unique integer ids the id is the key. Otherwise (null or repeated
+    With unique integer ids the id is the key and there is no third column
+    (``_id``); ``named`` restores it. Otherwise (null or repeated
     ids) rows are numbered by id, nulls first, then text, so that every row
     stays a document of its own. Extra columns are dropped here, whatever
     their names.
@@ -56,10 +57,18 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     if whole:
         n, named, distinct = rows.agg(F.count("*"), F.count("_id"), F.countDistinct("_id")).first()
         if n == named == distinct:
-            return rows.select(F.col("_id").cast("long").alias(KEY), "_id", TEXT)
+            return rows.select(F.col("_id").cast("long").alias(KEY), TEXT).filter(F.col(KEY).isNotNull())
     return numbered(rows, [F.col("_id").asc_nulls_first(), F.col(TEXT).asc_nulls_first()])
 
 
+def named(rows: DataFrame, out: DataFrame) -> DataFrame:
+    """``out`` with the id of each ``_key`` of ``rows`` as second column."""
+    rest = [c for c in out.columns if c != KEY]
+    if "_id" not in rows.columns:
+        return out.select(KEY, F.col(KEY).alias("_id"), *rest)
+    return out.join(rows.select(KEY, "_id"), KEY).select(KEY, "_id", *rest)
+
+
 def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
     """``_key`` 0.. in the given order, without a single sorting task: ranges are sorted, counted and shifted."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._kernel import Spans
-from ._spark import KEY, TEXT, Slice, keyed, text_bytes
-from .repeats import by_document, later_spans, pieces, ranges
+from ._spark import KEY, TEXT, Slice, keyed, named, text_bytes
+from .repeats import by_document, later_spans, pieces, ranges, texts
 
 NEWLINE = 10
 
@@ -59,7 +59,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(_key, _id, n_lines, n_removed, n_spans, kept string) of each document; ``kept`` is null where the text is."""
     rows = keyed(docs, id_col, text_col)
     spans = by_document(later_spans(pieces(rows, cut_windows(window))))
-    out = rows.join(spans, KEY, "left")
+    out = texts(rows).join(spans, KEY, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,9 +78,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n_removed.append(int(gone.sum()))
                 n_spans.append(int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum()))
                 kept.append(b"\n".join(x for x, g in zip(lines, gone, strict=True) if not g).decode("utf-8", "replace") if known[i] else None)
-            yield pa.RecordBatch.from_arrays([batch.column(KEY), batch.column("_id"), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string())], names=[KEY, "_id", "n_lines", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(KEY), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string())], names=[KEY, "n_lines", "n_removed", "n_spans", "kept"])
 
-    return out.mapInArrow(run, f"_key long, _id {dict(rows.dtypes)['_id']}, n_lines long, n_removed long, n_spans long, kept string")
+    return named(rows, out.mapInArrow(run, "_key long, n_lines long, n_removed long, n_spans long, kept string"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

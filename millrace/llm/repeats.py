@@ -1,14 +1,15 @@
 """Later occurrences of equal content, shared by the exact dedup operators.
 
-A piece is a hashed part of a document: ``group`` (its first hash, by which
-pieces are dealt), ``digest`` (its second), the document's key and the range
-from ``a`` to ``b``. Of equal pieces the one with the smallest (key, a) is the
-first; all others are later occurrences.
+A piece is a hashed part of a document: ``route`` (its first hash, by which
+pieces are dealt), ``digest`` (54 bits of its second, and its length in the low
+10), the document's key and its start ``a``. Of equal pieces the one with the
+smallest (key, a) is the first; all others are later occurrences.
 
 Skew: each mapper keeps one piece per content and slice of text for the
 shuffle. The rest are later occurrences whatever the other mappers hold, so
-they are dealt at random and never meet in one task. A content therefore
-has at most one competing row per slice, however often it occurs.
+they are marked (``a`` is stored as -1 - a), dealt at random and never meet in
+one task. A content therefore has at most one competing row per slice, however
+often it occurs.
 """
 
 from __future__ import annotations
@@ -21,24 +22,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kernel import merged, mix, runs
-from ._spark import KEY, TEXT, Slice, slices, text_bytes
+from ._kernel import merged, mix
+from ._spark import KEY, TEXT, Slice, named, slices, text_bytes
 
-PIECES = "route long, grp long, digest long, _key long, a int, b int, later boolean"
-_SCHEMA = pa.schema([("route", pa.int64()), ("grp", pa.int64()), ("digest", pa.int64()), (KEY, pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("later", pa.bool_())])
+PIECES = "route long, digest long, _key long, a int"
+LONGEST = 1023
 
 Cut = Callable[[Slice], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def collapsed(group: np.ndarray, digest: np.ndarray, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     """Pieces of one slice, all but the first of each content marked as later."""
+    n = (b - a).astype(np.uint64)
+    if len(n) and int(n.max()) > LONGEST:
+        raise ValueError(f"a piece is longer than {LONGEST}")
+    digest = (digest & ~np.uint64(LONGEST)) | n
     order = np.lexsort((a, keys, digest, group))
     g, d = group[order], digest[order]
     later = np.zeros(len(order), bool)
     later[1:] = (g[1:] == g[:-1]) & (d[1:] == d[:-1])
-    k, a, b = keys[order], a[order], b[order]
+    k, a = keys[order], a[order]
     route = np.where(later, mix(k.astype(np.uint64) * np.uint64(0x9E3779B1) + a.astype(np.uint64)), g)
-    return pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(g.view(np.int64)), pa.array(d.view(np.int64)), pa.array(k), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(later)], schema=_SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(d.view(np.int64)), pa.array(k), pa.array(np.where(later, -1 - a, a).astype(np.int32))], names=["route", "digest", KEY, "a"])
 
 
 def pieces(docs: DataFrame, cut: Cut) -> DataFrame:
@@ -54,6 +59,27 @@ def pieces(docs: DataFrame, cut: Cut) -> DataFrame:
     return docs.select(KEY, TEXT).mapInArrow(run, PIECES)
 
 
+class Judged:
+    """Whole groups of pieces: which are later, which is the first of its content, and each group's contents."""
+
+    def __init__(self, t: pa.RecordBatch):
+        self.route, digest, self.key, a = (t.column(c).to_numpy() for c in ("route", "digest", KEY, "a"))
+        self.n = digest & LONGEST
+        marked = a < 0
+        self.a = np.where(marked, -1 - a, a).astype(np.int64)
+        own = np.flatnonzero(~marked)
+        o = own[np.lexsort((self.a[own], self.key[own], digest[own], self.route[own]))]
+        group = np.ones(len(o), bool)
+        group[1:] = self.route[o][1:] != self.route[o][:-1]
+        content = group.copy()
+        content[1:] |= digest[o][1:] != digest[o][:-1]
+        self.later = np.r_[np.flatnonzero(marked), o[~content]]
+        self.first = o[content]
+        which = np.cumsum(group) - 1
+        contents = np.bincount(which[content], minlength=len(o) and which[-1] + 1)
+        self.contents = contents[which[content]]  # of the group of each first
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.RecordBatch]:
     """Batches of a partition sorted by ``by``, re-cut so that no group spans two of them."""
     held: list[pa.RecordBatch] = []
@@ -89,15 +115,9 @@ def later_spans(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "route"):
-            g, d, k, a, later = (t.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "digest", KEY, "a", "later"))
-            own = np.flatnonzero(~later)
-            o = own[np.lexsort((a[own], k[own], d[own], g[own]))]
-            if len(o):
-                again = np.r_[False, (g[o][1:] == g[o][:-1]) & (d[o][1:] == d[o][:-1])]
-                take = np.sort(np.r_[np.flatnonzero(later), o[again]])
-            else:
-                take = np.flatnonzero(later)
-            yield t.select([KEY, "a", "b"]).take(pa.array(take))
+            j = Judged(t)
+            a = j.a[j.later]
+            yield pa.RecordBatch.from_arrays([pa.array(j.key[j.later]), pa.array(a.astype(np.int32)), pa.array((a + j.n[j.later]).astype(np.int32))], names=[KEY, "a", "b"])
 
     return dealt(found).mapInArrow(run, "_key long, a int, b int")
 
@@ -108,25 +128,34 @@ def by_document(spans: DataFrame) -> DataFrame:
 
 
 def ranges(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets, a, b) of a list column of (a, b) structs; null is empty."""
+    """(offsets, a, b) of a list column of (a, b) structs, without those whose third field is true; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lengths = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
     flat = column.flatten()
     a, b = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-    return np.r_[0, np.cumsum(lengths)], a, b
+    offs = np.r_[0, np.cumsum(lengths)]
+    if flat.type.num_fields > 2:
+        use = ~flat.field(2).to_numpy(zero_copy_only=False)
+        offs, a, b = np.r_[0, np.cumsum(use)][offs], a[use], b[use]
+    return offs, a, b
+
+
+def texts(rows: DataFrame) -> DataFrame:
+    """Key and text of every row; used for every join, so that one shuffle of the texts serves them all."""
+    return rows.select(KEY, TEXT)
 
 
-def without(docs: DataFrame, *spans: DataFrame) -> DataFrame:
-    """(_key, _id, _text, spans list, kept text): the documents without their spans.
+def without(rows: DataFrame, *spans: DataFrame) -> DataFrame:
+    """(_key, _id, n_bytes, n_spans, kept binary): the documents without their spans.
 
-    One shuffle of the texts by key; the span tables are aggregated by the
-    same key first.
+    Each table of spans is (_key, spans), one row per document. Texts are
+    shuffled once, by key. A span with a true third field is left alone.
     """
-    out = docs.select(KEY, "_id", TEXT)
-    for i, s in enumerate(spans):
-        out = out.join(by_document(s).withColumnRenamed("spans", f"_s{i}"), KEY, "left")
+    out = texts(rows)
     names = [f"_s{i}" for i in range(len(spans))]
+    for c, s in zip(names, spans, strict=True):
+        out = out.join(s.withColumnRenamed(s.columns[1], c), KEY, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,18 +164,14 @@ def without(docs: DataFrame, *spans: DataFrame) -> DataFrame:
             kept: list[bytes] = []
             counts: list[int] = []
             for i in range(batch.num_rows):
-                text = data[offs[i] : offs[i + 1]]
+                raw = data[offs[i] : offs[i + 1]].tobytes()
                 a = np.concatenate([x[1][x[0][i] : x[0][i + 1]] for x in lists])
-                if not len(a):
-                    kept.append(text.tobytes())
-                    counts.append(0)
-                    continue
-                a, b = merged(a, np.concatenate([x[2][x[0][i] : x[0][i + 1]] for x in lists]))
-                raw = text.tobytes()
-                edges = [0, *np.stack([a, b], 1).ravel().tolist(), len(raw)]
-                kept.append(b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
+                if len(a):
+                    a, b = merged(a, np.concatenate([x[2][x[0][i] : x[0][i + 1]] for x in lists]))
+                    edges = [0, *np.stack([a, b], 1).ravel().tolist(), len(raw)]
+                    raw = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+                kept.append(raw)
                 counts.append(len(a))
-            yield pa.RecordBatch.from_arrays([batch.column(KEY), batch.column("_id"), pa.array(np.diff(offs)), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())], names=[KEY, "_id", "n_bytes", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(KEY), pa.array(np.diff(offs)), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())], names=[KEY, "n_bytes", "n_spans", "kept"])
 
-    kind = dict(docs.dtypes)["_id"]
-    return out.mapInArrow(run, f"_key long, _id {kind}, n_bytes long, n_spans long, kept binary")
+    return named(rows, out.mapInArrow(run, "_key long, n_bytes long, n_spans long, kept binary"))

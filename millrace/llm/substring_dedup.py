@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._kernel import Spans, byte_values, merged, runs
 from ._spark import KEY, Slice, keyed
-from .repeats import later_spans, pieces, without
+from .repeats import by_document, later_spans, pieces, whole_groups, without
 
 LEAST, MEAN_BITS, MOST, MIN_RUN = 8, 5, 256, 64
 
@@ -74,8 +74,6 @@ def _long_runs(min_run: int):
     """Of each document's later chunks, the merged runs of at least ``min_run`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .repeats import whole_groups
-
         for t in whole_groups(batches, KEY):
             k, a, b = (t.column(c).to_numpy() for c in (KEY, "a", "b"))
             keys, starts, ends = [], [], []
@@ -96,7 +94,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = keyed(docs, id_col, text_col)
     later = later_spans(pieces(rows, cut_chunks(least, bits, most)))
     spans = later.repartition(KEY).sortWithinPartitions(KEY).mapInArrow(_long_runs(min_run), "_key long, a int, b int")
-    return without(rows, spans)
+    return without(rows, by_document(spans))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,16 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._kernel import Spans, kgrams, merged, runs, sliding_min
-from ._spark import KEY, TEXT, Slice, keyed, slices, text_bytes
-from .repeats import by_document, dealt, pieces, ranges, whole_groups, without
+from ._kernel import Spans, kgrams, runs, sliding_min
+from ._spark import KEY, Slice, keyed, slices, text_bytes
+from .repeats import Judged, by_document, dealt, pieces, texts, whole_groups, without
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 32
 POS_BITS = 22
-COLLECTION = 4 << 20  #: symbols of one collection; a larger group is split by window content
+COLLECTION = 2 << 20  #: symbols of one collection; a larger group is split by window content
 SAMPLE_IN, HOT_SHARE, HOT_MOST = 32, 2000, 4096
 
 
@@ -112,25 +113,48 @@ def cut_segments(length: int, k: int, hot: Hot):
 
 
 class Columns:
-    """The transform and the common prefixes, kept in two files that are read and rewritten in order."""
-
-    def __init__(self, folder: str, bwt: np.ndarray, lcp: np.ndarray):
-        self.paths = [os.path.join(folder, x) for x in ("bwt", "lcp")]
-        self.types = (bwt.dtype, lcp.dtype)
-        self.write(bwt, lcp)
-
-    def read(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.fromfile(p, t) for p, t in zip(self.paths, self.types, strict=True))
-
-    def write(self, *columns: np.ndarray) -> None:
-        for p, x in zip(self.paths, columns, strict=True):
-            x.tofile(p + ".new")
-            os.replace(p + ".new", p)
+    """The columns of a collection in files: every round reads the old ones in order and writes new ones.
 
+    Two files a column take turns and stay open; they only grow.
+    """
 
-def _common(order: np.ndarray, at: np.ndarray, lcp: np.ndarray) -> np.ndarray:
-    """1 + the smallest common prefix between the symbol occurrences order[at - 1] and order[at]."""
-    a, b = order[at - 1] + 1, order[at] + 1
+    def __init__(self, folder: str, **columns: np.ndarray):
+        self.turn, self.sizes = 0, {}
+        self.types = {k: x.dtype for k, x in columns.items()}
+        self.files = {(k, i): open(os.path.join(folder, f"{k}{i}"), "w+b", buffering=0) for k in columns for i in (0, 1)}  # noqa: SIM115
+        self.write(**columns)
+
+    def read(self, *names: str) -> list[np.ndarray]:
+        out = []
+        for k in names:
+            f, x = self.files[k, self.turn], np.empty(self.sizes[k], self.types[k])
+            f.seek(0)
+            if f.readinto(x) != x.nbytes:
+                raise OSError(f"{k} is cut short")
+            out.append(x)
+        return out
+
+    def write(self, **columns: np.ndarray) -> None:
+        self.turn = 1 - self.turn
+        for k, x in columns.items():
+            f = self.files[k, self.turn]
+            f.seek(0)
+            if f.write(x) != x.nbytes:
+                raise OSError(f"{k} is cut short")
+            self.sizes[k] = len(x)
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
+
+
+PLACE = 24  #: bits of a place in the transform; the symbol lies above them
+_PLACES = np.uint32((1 << PLACE) - 1)
+
+
+def _common(occurs: np.ndarray, at: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """1 + the smallest common prefix between the places of the symbol occurrences at - 1 and at."""
+    a, b = (occurs[at - 1] & _PLACES).astype(np.int64) + 1, (occurs[at] & _PLACES).astype(np.int64) + 1
     by = np.argsort(a, kind="stable")
     least = np.minimum.reduceat(np.r_[lcp, lcp[:1]], np.stack([a[by], b[by]], 1).ravel())[::2]
     out = np.empty(len(at), lcp.dtype)
@@ -142,53 +166,66 @@ def collection(data: np.ndarray, start: np.ndarray, lens: np.ndarray) -> tuple[n
     """Suffix order of the texts data[start:start+lens]: (text, suffix length, common prefix with the one before).
 
     Column-wise: round j inserts the suffix of length j of every text that has
-    one. Ends of text differ from each other and precede all symbols.
+    one. Ends of text differ from each other and precede all symbols. Next to
+    the transform and the common prefixes lies ``occurs``, the transform's
+    places sorted by symbol, from which the place of a suffix follows without
+    counting anew.
     """
     n, rounds = len(start), int(lens.max(initial=0))
     used = np.flatnonzero(np.bincount(data, minlength=256))
-    symbol = np.zeros(256, np.uint8 if len(used) < 256 else np.uint16)
+    if len(used) > 255 or int(lens.sum()) + n >= 1 << PLACE:
+        raise ValueError("a collection holds at most 255 different symbols and 16 million of them")
+    symbol = np.zeros(256, np.uint8)
     symbol[used] = np.arange(1, len(used) + 1)
     text = symbol[data]
     kind = np.uint8 if rounds < 255 else np.uint32
     end = start + lens
+    bwt = np.where(lens > 0, text[np.maximum(end - 1, 0)], 0).astype(np.uint8)
+    occurs = np.sort((bwt.astype(np.uint32) << np.uint32(PLACE)) | np.arange(n, dtype=np.uint32))
     with tempfile.TemporaryDirectory() as folder:
-        files = Columns(folder, np.where(lens > 0, text[np.maximum(end - 1, 0)], 0).astype(symbol.dtype), np.zeros(n, kind))
+        files = Columns(folder, bwt=bwt, lcp=np.zeros(n, kind), occurs=occurs)
         pos = np.arange(n)
         for j in range(1, rounds + 1):
-            bwt, lcp = files.read()
+            bwt, lcp, occurs = files.read("bwt", "lcp", "occurs")
             act = np.flatnonzero(lens >= j)
-            order = np.argsort(bwt, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            done = int(np.count_nonzero(bwt == 0))
-            t = rank[pos[act]]
+            ask = (text[end[act] - j].astype(np.uint32) << np.uint32(PLACE)) | pos[act].astype(np.uint32)
+            by = np.argsort(ask)
+            act = act[by]
+            t = np.searchsorted(occurs, ask[by])
+            done = int(np.searchsorted(occurs, np.uint32(1 << PLACE)))
             place = t + (n - done)
             pos[act] = place
             size = len(bwt) + len(act)
             old = np.ones(size, bool)
             old[place] = False
-            new_bwt, new_lcp = np.empty(size, bwt.dtype), np.zeros(size, kind)
+            new_bwt, new_lcp = np.empty(size, np.uint8), np.zeros(size, kind)
             new_bwt[old], new_lcp[old] = bwt, lcp
-            before = end[act] - j - 1
-            new_bwt[place] = np.where(lens[act] > j, text[np.maximum(before, 0)], 0)
-            s = bwt[order]
-            touched = np.unique(np.r_[t, t[t + 1 < len(order)] + 1])
-            same = np.zeros(len(touched), bool)
-            same[touched > 0] = s[touched[touched > 0]] == s[touched[touched > 0] - 1]
+            new_bwt[place] = np.where(lens[act] > j, text[np.maximum(end[act] - j - 1, 0)], 0)
+            both = np.sort(np.r_[t, t[t + 1 < len(occurs)] + 1])
+            touched = both[np.r_[True, both[1:] != both[:-1]]]
+            prior = np.maximum(touched - 1, 0)
+            same = (touched > 0) & (occurs[touched] >> np.uint32(PLACE) == occurs[prior] >> np.uint32(PLACE))
             new_lcp[touched[~same] + (n - done)] = 0
             if same.any():
-                new_lcp[touched[same] + (n - done)] = _common(order, touched[same], lcp)
-            files.write(new_bwt, new_lcp)
-        bwt, lcp = files.read()
-    order = np.argsort(bwt, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+                new_lcp[touched[same] + (n - done)] = _common(occurs, touched[same], lcp)
+            moved = np.flatnonzero(old).astype(np.uint32)[occurs & _PLACES] | (occurs & ~_PLACES)
+            fresh = np.sort((new_bwt[place].astype(np.uint32) << np.uint32(PLACE)) | place.astype(np.uint32))
+            at = np.searchsorted(moved, fresh) + np.arange(len(fresh))
+            keep = np.ones(size, bool)
+            keep[at] = False
+            new_occurs = np.empty(size, np.uint32)
+            new_occurs[at], new_occurs[keep] = fresh, moved
+            files.write(bwt=new_bwt, lcp=new_lcp, occurs=new_occurs)
+        bwt, lcp, occurs = files.read("bwt", "lcp", "occurs")
+        files.close()
+    rank = np.empty(len(bwt), np.int32)
+    rank[occurs & _PLACES] = np.arange(len(bwt), dtype=np.int32)
     which, size = np.empty(len(bwt), np.int32), np.zeros(len(bwt), np.int32)
     pos = np.arange(n)
     which[:n] = pos
     for j in range(1, rounds + 1):  # walk back through the finished transform to name its suffixes
         act = np.flatnonzero(lens >= j)
-        pos[act] = rank[pos[act]]  # n ends of text, as many as finished texts
+        pos[act] = rank[pos[act]]  # n ends of text come first, as many as finished texts
         which[pos[act]], size[pos[act]] = act, j
     return which, size, lcp
 
@@ -237,12 +274,12 @@ def _compare(groups: pa.RecordBatch, length: int) -> pa.RecordBatch:
 def hot_anchors(rows: DataFrame, length: int, k: int) -> Hot:
     """At most 4,096 anchors that hold more than one in 2,000 segments of a sample of one document in 32."""
     found = pieces(rows.filter(F.pmod(F.xxhash64(KEY), F.lit(SAMPLE_IN)) == 0), cut_segments(length, k, Hot(np.zeros(0, np.uint64))))
-    counts = found.groupBy("grp").agg(F.count("*").alias("n"))
-    top = counts.filter("n >= 64").orderBy(F.desc("n"), "grp").limit(HOT_MOST).collect()
+    counts = found.filter("a >= 0").groupBy("route").agg(F.count("*").alias("n"))
+    top = counts.filter("n >= 64").orderBy(F.desc("n"), "route").limit(HOT_MOST).collect()
     if not top:
         return Hot(np.zeros(0, np.uint64))
     least = max(64, sum(r["n"] for r in top) // HOT_SHARE)
-    return Hot(np.array([r["grp"] for r in top if r["n"] >= least], np.int64).view(np.uint64))
+    return Hot(np.array([r["route"] for r in top if r["n"] >= least], np.int64).view(np.uint64))
 
 
 def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = GRAM) -> DataFrame:
@@ -253,37 +290,29 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hot = hot_anchors(rows, length, k)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Later segments, and the first segment of each content where a group has several."""
+        """Byte ranges of later segments, and of the first of each content where a group has several."""
         for t in whole_groups(batches, "route"):
-            g, d, key, a, later = (t.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "digest", KEY, "a", "later"))
-            own = np.flatnonzero(~later)
-            o = own[np.lexsort((a[own], key[own], d[own], g[own]))]
-            take, compare = np.flatnonzero(later), np.zeros(0, np.int64)
-            if len(o):
-                group = np.r_[True, g[o][1:] != g[o][:-1]]
-                content = group | np.r_[True, d[o][1:] != d[o][:-1]]
-                take = np.r_[take, o[~content]]
-                which = np.cumsum(group) - 1
-                several = np.bincount(which[content], minlength=which[-1] + 1) > 1
-                compare = o[content & several[which]]
-            both = pa.array(np.r_[take, compare])
-            yield pa.RecordBatch.from_arrays([*(t.column(c).take(both) for c in (KEY, "grp", "a", "b")), pa.array(np.r_[np.zeros(len(take), bool), np.ones(len(compare), bool)])], names=[KEY, "grp", "a", "b", "compare"])
-
-    judged = dealt(pieces(rows, cut_segments(length, k, hot))).mapInArrow(judge, "_key long, grp long, a int, b int, compare boolean")
-    marks = judged.groupBy(KEY).agg(F.collect_list(F.struct("a", "b", "grp", "compare")).alias("marks"))
-    marked = rows.join(marks, KEY, "inner").select(KEY, TEXT, "marks")
+            j = Judged(t)
+            compare = j.first[j.contents > 1]
+            both = np.r_[j.later, compare]
+            a = j.a[both]
+            group = np.where(np.arange(len(both)) < len(j.later), 0, j.route[both])
+            yield pa.RecordBatch.from_arrays([pa.array(j.key[both]), pa.array(a.astype(np.int32)), pa.array((a + j.n[both] + length - 1).astype(np.int32)), pa.array(np.arange(len(both)) >= len(j.later)), pa.array(group)], names=[KEY, "a", "b", "compare", "grp"])
+
+    judged = dealt(pieces(rows, cut_segments(length, k, hot))).mapInArrow(judge, "_key long, a int, b int, compare boolean, grp long")
+    marks = judged.groupBy(KEY).agg(F.collect_list(F.struct("a", "b", "compare", "grp")).alias("marks"))
+    marked = texts(rows).join(marks, KEY, "inner")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(group, key, a, bytes) of the segments to compare; (.., null) for ranges that are settled."""
+        """(group, key, a, bytes) of the segments to compare."""
         for batch in batches:
             for s in slices(batch):
-                at, a, b = ranges(batch.column("marks").slice(s.rows.start, len(s)))
-                flat = batch.column("marks").slice(s.rows.start, len(s)).flatten()
-                row = np.repeat(np.arange(len(s)), np.diff(at))
-                compare = flat.field(3).to_numpy(zero_copy_only=False)
-                b = b + length - 1
-                x, y = (s.offs[row] + a)[compare], (s.offs[row] + b)[compare]
-                yield _segment_batch(flat.field(2).filter(pa.array(compare)), s.keys[row[compare]], a[compare], _cut(s.data, x, y))
+                lists = batch.column("marks").slice(s.rows.start, len(s))
+                flat, lens = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                a, b, compare, grp = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                row = np.repeat(np.arange(len(s)), lens)[compare]
+                a, b = a[compare].astype(np.int64), b[compare].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(grp[compare]), pa.array(s.keys[row], pa.int64()), pa.array(a.astype(np.int32)), _cut(s.data, s.offs[row] + a, s.offs[row] + b)], names=["grp", KEY, "a", "bytes"])
 
     parts = marked.mapInArrow(fetch, "grp long, _key long, a int, bytes binary")
 
@@ -304,8 +333,7 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield _compare(pa.concat_batches(held), length)
 
     windows = parts.repartition("grp").sortWithinPartitions("grp").mapInArrow(compare, "_key long, a int, b int")
-    settled = judged.filter("not compare").select(KEY, "a", (F.col("b") + F.lit(length - 1)).cast("int").alias("b"))
-    return without(rows, settled, windows)
+    return without(rows, marks, by_document(windows))
 
 
 def _cut(data: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Array:
@@ -315,10 +343,6 @@ def _cut(data: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(data[index])])
 
 
-def _segment_batch(grp: pa.Array, key: np.ndarray, a: np.ndarray, parts: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([grp, pa.array(key, pa.int64()), pa.array(a.astype(np.int32)), parts], names=["grp", KEY, "a", "bytes"])
-
-
 def _by_group(t: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
     """Runs of whole groups of about ``limit`` / 2 bytes."""
     at = np.r_[runs(t.column("grp").to_numpy()), t.num_rows]
