@@ -40,3 +40,45 @@ def lines(docs: list[tuple[int, str]], window: int = 3) -> dict[int, tuple[int,
         spans = sum(1 for i in range(len(gone)) if gone[i] and (i == 0 or not gone[i - 1]))
         out[key] = (len(ls), sum(gone), spans, sha("\n".join(x for x, g in zip(ls, gone, strict=True) if not g).encode()))
     return out
+
+
+def near_classes(docs: list[tuple[int, str | None]], similarity: float = 0.8) -> dict[int, int]:
+    """op8: components of all pairs with a weighted Jaccard similarity of five-word shingles of at least 0.8."""
+    import re
+    from collections import Counter
+
+    word = re.compile(rb"[a-z0-9\x80-\xff]+")
+
+    def shingles(text):
+        w = word.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+        if len(w) < 5:
+            return Counter([tuple(w)]) if w else Counter()
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    sets = {k: shingles(t) for k, t in docs}
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            both, either = sum((sets[a] & sets[b]).values()), sum((sets[a] | sets[b]).values())
+            if both and both / either >= similarity:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in sets}
+
+
+def distance(item: str, text: str) -> int:
+    """The least edits between an item and any substring of text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
