@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._kernel import Spans, lowered, mix, runs, words
-from ._spark import KEY, TEXT, checkpoint, keyed, named, slices, stored
+from ._spark import KEY, TEXT, checkpoint, keyed, named, release, slices, stored
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -184,19 +184,23 @@ def _near(least: float):
 
 
 class Links:
-    """Verification of candidate pairs: signatures first, then the exact similarity."""
+    """Verification of candidate pairs: signatures first, then the exact similarity.
 
-    def __init__(self, rows: DataFrame, reps: DataFrame, similarity: float):
-        self.rows, self.reps, self.similarity = rows, reps, similarity
+    The shingles of all documents in shared buckets are taken once, with the
+    only shuffle of texts.
+    """
+
+    def __init__(self, rows: DataFrame, reps: DataFrame, members: DataFrame, similarity: float):
+        need = members.select(KEY).distinct()
+        self.sig = stored(reps.join(need, KEY, "left_semi"), "candidates")
+        self.units = stored(rows.select(KEY, TEXT).join(need, KEY, "left_semi").mapInArrow(_units, f"{KEY} long, units binary"), "units")
+        self.similarity = similarity
 
     def of(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are alike, checkpointed."""
-        sig = self.reps.select(KEY, "sig")
-        both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
+        both = pairs.join(self.sig.toDF("a", "sa"), "a").join(self.sig.toDF("b", "sb"), "b")
         near = checkpoint(both.mapInArrow(_near(self.similarity - SLACK), "a long, b long"))
-        need = near.select(F.col("a").alias(KEY)).union(near.select("b")).distinct()
-        units = stored(self.rows.select(KEY, TEXT).join(need, KEY, "left_semi").mapInArrow(_units, f"{KEY} long, units binary"), "units")
-        found = near.join(units.toDF("a", "ua"), "a").join(units.toDF("b", "ub"), "b").select("a", "b", "ua", "ub")
+        found = near.join(self.units.toDF("a", "ua"), "a").join(self.units.toDF("b", "ub"), "b").select("a", "b", "ua", "ub")
         return checkpoint(found.mapInArrow(_alike(self.similarity), "a long, b long"))
 
 
@@ -210,7 +214,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     banded = reps.mapInArrow(_banded, f"{KEY} long, bucket long")
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = stored(banded.join(shared, "bucket"), "buckets")
-    links = Links(rows, reps, similarity)
+    links = Links(rows, reps, members, similarity)
     root = None
     for i in range(rounds + 1):
         state = members if root is None else members.join(root, F.col(KEY) == F.col("node"), "left").select(KEY, "bucket", F.coalesce("root", KEY).alias("root"))
@@ -233,6 +237,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
             continue
         joined = components(fresh)
         root = joined if root is None else checkpoint(_merged_roots(root, joined))
+        del state, split, pairs, found, fresh, joined
+        release(rows.sparkSession)
     class_of = copies.withColumnRenamed("rep", "class_key") if root is None else copies.join(root, F.col("rep") == F.col("node"), "left").select("print", "check", F.coalesce("root", "rep").alias("class_key"))
     out = signed.select(KEY, "print", F.xxhash64("sig").alias("check"), F.col("sig").isNull().alias("none"))
     out = out.join(class_of, ["print", "check"], "left").select(KEY, F.when(F.col("none"), F.col(KEY)).otherwise(F.coalesce("class_key", KEY)).alias("class_key"))
