@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .text import bag_jaccard
 
 # Kinds by priority, the first wins where spans overlap; critical ones may never change.
-KINDS = ("placeholder", "html", "entity", "email", "url", "variable", "printf", "number", "identifier")
+KINDS = ("placeholder", "html", "entity", "email", "url", "variable", "printf", "identifier", "number")
 CRITICAL = ("placeholder", "html", "email", "url", "variable", "printf")
 SIMPLE = {
     "html": r"</?[A-Za-z][^<>]{0,400}>",
@@ -81,7 +81,7 @@ def find(text: str | None) -> list[dict]:
         if all(b <= x or a >= y for x, y in taken):
             taken.append((a, b))
             surface = text[a:b]
-            out.append({"start": a, "end": b, "surface": surface, "kind": KINDS[k], "key": f"{KINDS[k]}:{unicodedata.normalize('NFKC', surface).replace(',', '') if k == 7 else surface}"})
+            out.append({"start": a, "end": b, "surface": surface, "kind": KINDS[k], "key": f"{KINDS[k]}:{unicodedata.normalize('NFKC', surface).replace(',', '') if KINDS[k] == 'number' else surface}"})
     return sorted(out, key=lambda s: s["start"])
 
 

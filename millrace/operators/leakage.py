@@ -83,12 +83,20 @@ def contamination(source: Column, target: Column, direction: tuple[str, str], pr
         for m in marks:
             sense = sense | F.contains(s, word(m))
         out.append(finding(F.contains(s, word(a)) & F.contains(t, word(b)) & sense, "literal_idiom", 0.85, a, b))
-    anyof = lambda x, ws: F.lit(False) if not ws else F.exists(F.array(*[F.lit(_fold(w)) for w in ws]), lambda w: F.contains(x, w))
+    anyof = lambda x, ws: _any(x, [_fold(w) for w in ws])
     out.append(finding(anyof(near, DOG_WORDS) & F.contains(t, F.lit("犬")), "dog_prefix_literal", 0.75, "犬"))
     out.append(finding(anyof(s, profanity) & ~anyof(t, vulgar), "profanity_intensity_lost", 0.45))
     return F.array_compact(F.array(*out)).cast(kind)
 
 
+def _any(t: Column, words: list[str]) -> Column:
+    """Whether a text holds one of the words."""
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(t, F.lit(w))
+    return out
+
+
 def _fold(w: str) -> str:
     import re
     import unicodedata
@@ -114,5 +122,5 @@ def screen(text: Column, first: tuple[str, ...], second: tuple[str, ...]) -> Col
     """unscreened without terms (never clean), flagged where both lists have a term in the text, else clear."""
     if not first or not second:
         return F.lit("unscreened")
-    has = lambda ws: F.exists(F.array(*map(F.lit, ws)), lambda w: F.contains(F.lower(text), F.lower(w)))
+    has = lambda ws: _any(F.lower(text), [w.lower() for w in ws])
     return F.when(has(first) & has(second), F.lit("flagged")).otherwise(F.lit("clear"))

@@ -160,7 +160,7 @@ def shard_keys(rows: DataFrame, most: int = 2000) -> DataFrame:
 def monolingual(spark: SparkSession, root: str) -> DataFrame:
     """(language, file, text, status) below <root>/<language>/**: lines of .txt, ``text`` of .jsonl."""
     rows = spark.read.option("recursiveFileLookup", "true").text(root).select(F.col("_metadata.file_path").alias("file"), "value")
-    rel = F.regexp_extract("file", F.lit(re.escape(root.rstrip("/").split("/")[-1]) + r"/([^/]+)/"), 1)
+    rel = F.regexp_extract("file", re.escape(root.rstrip("/").split("/")[-1]) + r"/([^/]+)/", 1)
     kind = F.lower(F.regexp_extract("file", r"\.([^.]+)$", 1))
     parsed = F.try_parse_json("value")
     text = F.when(kind == "txt", F.col("value")).when(kind == "jsonl", F.try_variant_get(parsed, "$.text", "string"))
