@@ -146,11 +146,12 @@ def texts(rows: DataFrame) -> DataFrame:
     return rows.select(KEY, TEXT)
 
 
-def without(rows: DataFrame, *spans: DataFrame) -> DataFrame:
+def without(rows: DataFrame, *spans: DataFrame, least: int = 0) -> DataFrame:
     """(_key, _id, n_bytes, n_spans, kept binary): the documents without their spans.
 
     Each table of spans is (_key, spans), one row per document. Texts are
-    shuffled once, by key. A span with a true third field is left alone.
+    shuffled once, by key. A span with a true third field is left alone, and so
+    is a merged one of fewer than ``least`` bytes unless it is the whole document.
     """
     out = texts(rows)
     names = [f"_s{i}" for i in range(len(spans))]
@@ -168,6 +169,8 @@ def without(rows: DataFrame, *spans: DataFrame) -> DataFrame:
                 a = np.concatenate([x[1][x[0][i] : x[0][i + 1]] for x in lists])
                 if len(a):
                     a, b = merged(a, np.concatenate([x[2][x[0][i] : x[0][i + 1]] for x in lists]))
+                    long = (b - a >= least) | (b - a == len(raw))
+                    a, b = a[long], b[long]
                     edges = [0, *np.stack([a, b], 1).ravel().tolist(), len(raw)]
                     raw = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
                 kept.append(raw)

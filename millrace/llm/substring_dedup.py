@@ -1,13 +1,13 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash over the last 32 bytes marks boundaries; where they lie
-depends on nearby bytes alone, so an insertion moves at most the chunks it
-touches. A boundary closer than ``least`` bytes to the candidate before it is
+A gear rolling hash over the last 32 bytes of the same text marks boundaries;
+where they lie depends on nearby bytes alone, never on another document, so an
+insertion moves at most the chunks it touches and equal texts have equal chunks. A boundary closer than ``least`` bytes to the candidate before it is
 skipped, a chunk longer than ``most`` is cut every ``most`` bytes from its
 start. Each chunk has a 128-bit digest; of equal chunks the one with the
 smallest (id, start) is the first. Later ones are merged with their neighbours
-and a merged run of at least ``min_run`` bytes is removed; shorter runs
-(stray common chunks) stay.
+and a merged run of at least ``min_run`` bytes is removed, or one of any length
+that is the whole document; other shorter runs (stray common chunks) stay.
 
 Defined results: a null or empty text has no chunk; rows with null or repeated
 ids are documents of their own, nulls first, then by text; an empty table
@@ -30,19 +30,27 @@ from .repeats import by_document, later_spans, pieces, whole_groups, without
 LEAST, MEAN_BITS, MOST, MIN_RUN = 8, 5, 256, 64
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """The 32-bit gear hash at every byte: h = (h << 1) + G[byte], by doubling over its 32-byte window."""
+def gear(data: np.ndarray, offs: np.ndarray | None = None) -> np.ndarray:
+    """The 32-bit gear hash at every byte: h = (h << 1) + G[byte], by doubling over its 32-byte window, anew in each row."""
     h = (byte_values(7)[data] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     size = 1
     while size < 32:
         h[size:] += h[:-size] << np.uint32(size)
         size *= 2
+    if offs is not None:
+        # what the bytes before a row add to its first ones is their hash, shifted
+        rows = np.unique(offs[1:-1])
+        rows = rows[(rows > 0) & (rows < len(data))]
+        n = np.minimum(31, np.diff(np.r_[rows, len(data)]))
+        i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        before = np.repeat(h[rows - 1], n)
+        h[np.repeat(rows, n) + i] -= before << (i + 1).astype(np.uint32)
     return h
 
 
 def boundaries(data: np.ndarray, offs: np.ndarray, least: int, bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, end) of the chunks of all rows, in order."""
-    h = gear(data)
+    h = gear(data, offs)
     cut = np.flatnonzero(h >> np.uint32(32 - bits) == 0) + 1
     ends = np.union1d(cut, offs)
     row_edge = np.isin(ends, offs, assume_unique=True)
@@ -71,7 +79,7 @@ def cut_chunks(least: int, bits: int, most: int):
 
 
 def _long_runs(min_run: int):
-    """Of each document's later chunks, the merged runs of at least ``min_run`` bytes."""
+    """Of each document's later chunks, the merged runs of at least ``min_run`` bytes, and those at its start: they may be all of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, KEY):
@@ -80,7 +88,7 @@ def _long_runs(min_run: int):
             at = np.r_[runs(k), len(k)]
             for i, j in zip(at[:-1], at[1:], strict=True):
                 x, y = merged(a[i:j], b[i:j])
-                long = y - x >= min_run
+                long = (y - x >= min_run) | (x == 0)
                 keys.append(np.full(int(long.sum()), k[i]))
                 starts.append(x[long])
                 ends.append(y[long])
@@ -94,7 +102,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = keyed(docs, id_col, text_col)
     later = later_spans(pieces(rows, cut_chunks(least, bits, most)))
     spans = later.repartition(KEY).sortWithinPartitions(KEY).mapInArrow(_long_runs(min_run), "_key long, a int, b int")
-    return without(rows, by_document(spans))
+    return without(rows, by_document(spans), least=min_run)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

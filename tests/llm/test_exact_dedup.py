@@ -101,6 +101,26 @@ def test_chunks_resist_shifts(spark):
     assert sum(out[3 * i + 1] > 0 for i in range(n)) >= 0.95 * n
 
 
+def test_exact_copies_go_whole_behind_any_neighbour(spark):
+    rnd = random.Random(17)
+    text = lambda n: "".join(rnd.choice("abcdefghij klmnopqrst") for _ in range(n))
+    copies = [text(n) for n in (5, 20, 40, 63, 64, 100, 150, 400) for _ in range(20)]
+    docs = [(i, x) for n, c in enumerate(copies) for i, x in ((4 * n, text(rnd.randint(1, 90))), (4 * n + 1, c), (4 * n + 2, text(rnd.randint(1, 90))), (4 * n + 3, c))]
+    for parts in (1, 3):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        out = {r._id: (r.n_bytes, len(r.kept)) for r in dedup_substrings(df).collect()}
+        assert all(out[4 * n + 3] == (len(c), 0) for n, c in enumerate(copies))
+        assert all(out[4 * n + 1] == (len(c), len(c)) for n, c in enumerate(copies))
+
+
+def test_the_gear_hash_starts_anew_in_each_row():
+    rnd = np.random.default_rng(2)
+    data = rnd.integers(0, 256, 400).astype(np.uint8)
+    offs = np.array([0, 0, 1, 3, 3, 40, 80, 80, 399, 400, 400])
+    want = np.concatenate([gear(data[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True) if b > a])
+    assert (gear(data, offs) == want).all()
+
+
 def test_chunks_tile_every_row():
     rnd = np.random.default_rng(1)
     data = rnd.integers(97, 110, 5000).astype(np.uint8)
