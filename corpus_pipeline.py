@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, language_id, line_dedup, minhash, packing
-from millrace.llm._spark import stored
+from millrace.llm._spark import KEY, TEXT, stored, whole_rows
 
 LEAST_SCORE = 0.4
 
@@ -36,9 +36,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
-    gone = minhash.classes(docs).filter("NOT kept").select(F.col("_id").alias("_gone_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    """One row of each near-duplicate group: the one with the smallest id, nulls first, then by text."""
+    rows = whole_rows(docs)
+    gone = minhash.classes(rows, KEY, TEXT).filter("NOT kept").select(KEY)
+    return rows.join(gone, KEY, "left_anti").select("_doc.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,14 +60,31 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     their names.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias(TEXT))
-    whole = dict(rows.dtypes)["_id"] in ("bigint", "int", "smallint", "tinyint")
-    if whole:
-        n, named, distinct = rows.agg(F.count("*"), F.count("_id"), F.countDistinct("_id")).first()
-        if n == named == distinct:
-            return rows.select(F.col("_id").cast("long").alias(KEY), TEXT).filter(F.col(KEY).isNotNull())
+    if _unique(rows):
+        return rows.select(F.col("_id").cast("long").alias(KEY), TEXT).filter(F.col(KEY).isNotNull())
     return numbered(rows, [F.col("_id").asc_nulls_first(), F.col(TEXT).asc_nulls_first()])
 
 
+def _unique(rows: DataFrame) -> bool:
+    """Whether ``_id`` is an integer, nowhere null and never repeated."""
+    if dict(rows.dtypes)["_id"] not in ("bigint", "int", "smallint", "tinyint"):
+        return False
+    n, known, distinct = rows.agg(F.count("*"), F.count("_id"), F.countDistinct("_id")).first()
+    return n == known == distinct
+
+
+def whole_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(``_key`` as ``keyed`` gives it, ``_text``, ``_doc``: the struct of all columns) of each row.
+
+    For stages that return whole rows: what an operator decides on ``_key`` and
+    ``_text`` comes back by ``_key``, which no two rows share.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias(TEXT), F.struct(*docs.columns).alias("_doc"))
+    if _unique(rows):
+        return rows.select(F.col("_id").cast("long").alias(KEY), TEXT, "_doc")
+    return numbered(rows, [F.col("_id").asc_nulls_first(), F.col(TEXT).asc_nulls_first()]).select(KEY, TEXT, "_doc")
+
+
 def named(rows: DataFrame, out: DataFrame) -> DataFrame:
     """``out`` with the id of each ``_key`` of ``rows`` as second column."""
     rest = [c for c in out.columns if c != KEY]

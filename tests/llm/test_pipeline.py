@@ -47,6 +47,22 @@ def test_stages_one_by_one(spark, sf):
     assert max(seqs.values()) <= 4096 and {r.doc_id for r in packed} == {r.doc_id for r in single.collect()}
 
 
+def odd_ids(spark, sf, texts):
+    """Rows of the documents' schema with these (doc_id, text, lang)."""
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    values = lambda i, t, lang: {"doc_id": i, "text": t, "lang": lang, "n_chars": len(t) if t is not None else None}
+    return spark.createDataFrame([tuple(values(*x).get(c) for c in schema.names) for x in texts], schema)
+
+
+def test_near_dedup_with_repeated_and_null_ids(spark, sf):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(7, a, "x"), (7, a, "x"), (8, b, "p"), (8, b + " end", "q"), (9, c, "x"), (None, d, "x"), (None, d, "y"), (None, d + " end", "x"), (None, c, "x"), (10, None, "x"), (10, None, "y"), (None, None, "x")]
+    out = corpus_pipeline.dedup_near(spark, odd_ids(spark, sf, rows), sf)
+    assert out.columns == spark.read.parquet(f"{sf}/documents.parquet").columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(7, a), (8, b), (None, c), (None, d), (10, None), (10, None), (None, None)], key=str)
+
+
 def test_run_equals_the_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf).collect()
     assert out and out[0].asDict().keys() == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
