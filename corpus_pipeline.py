@@ -27,12 +27,13 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of three-line windows; the character counts follow."""
-    kept = line_dedup.dedup_lines(docs)
-    changed = kept.filter("n_removed > 0").select(F.col("_id").alias("_kept_id"), "kept")
-    out = docs.join(changed, F.col("doc_id") == F.col("_kept_id"), "left")
-    text = F.when(F.col("_kept_id").isNotNull(), F.col("kept")).otherwise(F.col("text"))
-    n = F.when(F.col("_kept_id").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*[text.alias(c) if c == "text" else n.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    rows = whole_rows(docs)
+    changed = line_dedup.dedup_lines(rows, KEY, TEXT).filter("n_removed > 0").select(KEY, "kept")
+    out = rows.join(changed, KEY, "left")
+    old = lambda c: F.col("_doc").getField(c)
+    text = F.coalesce("kept", old("text"))  # a null text has no window, so it is never changed
+    n = F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(old("n_chars"))
+    return out.select(*[(text if c == "text" else n if c == "n_chars" else old(c)).alias(c) for c in docs.columns])
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,24 @@ def test_near_dedup_with_repeated_and_null_ids(spark, sf):
     assert sorted(got, key=str) == sorted([(7, a), (8, b), (None, c), (None, d), (10, None), (10, None), (None, None)], key=str)
 
 
+def test_line_dedup_with_repeated_and_null_ids(spark, sf):
+    p, q = "one\ntwo\nthree", "four\nfive\nsix"
+    rows = [(5, p, "x"), (5, p, "y"), (6, f"{q}\nu", "x"), (6, f"{q}\nv", "y"), (6, f"{q}\nz", "w"), (None, f"{q}\nn", "x"), (None, f"m\n{p}", "y"), (8, f"{q}\nt", "x"), (8, f"{p}\ns", "y"), (9, None, "x")]
+    out = corpus_pipeline.dedup_lines(spark, odd_ids(spark, sf, rows), sf)
+    assert out.columns == spark.read.parquet(f"{sf}/documents.parquet").columns
+    got = sorted(((r.doc_id, r.text, r.lang, r.n_chars) for r in out.collect()), key=str)
+    want = [(None, f"{q}\nn", "x"), (None, f"m\n{p}", "y"), (6, "u", "x"), (6, "v", "y"), (6, "z", "w"), (8, "t", "x"), (8, "s", "y"), (9, None, "x")]
+    # two equal rows: either may be the later one
+    assert [g for g in got if g[0] != 5] == sorted([(*w, len(w[1]) if w[1] is not None else None) for w in want], key=str)
+    assert [g[:2] for g in got if g[0] == 5] == [(5, ""), (5, "")]  # the null row comes first and holds the lines
+
+
+def test_repeated_rows_keep_their_lines_once(spark, sf):
+    p = "one\ntwo\nthree"
+    out = corpus_pipeline.dedup_lines(spark, odd_ids(spark, sf, [(5, p, "x"), (5, p, "x"), (5, f"{p}\nend", "x")]), sf)
+    assert sorted((r.text, r.n_chars) for r in out.collect()) == [("", 0), ("end", 3), (p, len(p))]
+
+
 def test_run_equals_the_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf).collect()
     assert out and out[0].asDict().keys() == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
