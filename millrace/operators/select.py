@@ -54,23 +54,31 @@ def best_of(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
     return capped(rows, [by], order, 1, "_n").drop("_n")
 
 
-def unique_matching(edges: DataFrame, source: str, target: str, score: str, tie: Column, rounds: int = 30) -> DataFrame:
+def unique_matching(edges: DataFrame, source: str, target: str, score: str, tie: Column, most_rounds: int | None = None) -> DataFrame:
     """The greedy one-to-one matching by score, without a sequential pass.
 
     In every round the edges that are first for both their ends are taken and
-    all others at these ends go. The set is the one that a pass over all edges
-    in order would keep. Each round is cut off with a checkpoint.
+    all others at these ends go, until no edge is left. The set is the one that
+    a pass over all edges in order would keep. Each round is cut off with a
+    checkpoint. A tie that is hashed over the edge keeps the rounds few where
+    many edges have one score; one in the order of the ends takes a round for
+    each match. Edges without an end or a score match nothing. Edges left after ``most_rounds`` rounds are an error, never a part.
     """
-    left = edges.withColumn("_tie", tie)
+    edges = edges.filter(F.col(source).isNotNull() & F.col(target).isNotNull() & F.col(score).isNotNull())
+    left = edges.withColumn("_tie", tie).checkpoint()
     taken = None
-    for _ in range(rounds):
+    n = 0
+    while not left.isEmpty():
+        if n == most_rounds:
+            raise RuntimeError(f"unique_matching: edges are left after {n} rounds")
+        n += 1
         # the struct's smallest value is the best edge: score descending, then tie
         key = F.struct((-F.col(score)).alias("s"), F.col("_tie").alias("t"))
         a = left.groupBy(source).agg(F.min(key).alias("_a"))
         b = left.groupBy(target).agg(F.min(key).alias("_b"))
         first = left.join(a, source).join(b, target).filter((F.col("_a") == key) & (F.col("_b") == key)).select(*left.columns).checkpoint()
         if first.isEmpty():
-            break
+            raise RuntimeError("unique_matching: no edge is first for both its ends; the tie must order all edges")
         taken = first if taken is None else taken.unionByName(first)
         left = left.join(first.select(source), source, "left_anti").join(first.select(target), target, "left_anti").select(*left.columns).checkpoint()
     return edges.limit(0) if taken is None else taken.drop("_tie")

@@ -450,11 +450,11 @@ def rerank_turns(spark, d):
 
 @query()
 def greedy_matching(spark, d):
-    """Turns matched one to one by their Dice-scored terms."""
+    """Terms of turns matched one to one by their Dice scores, ties by a seeded hash."""
     from .sources.checkpoints import ensure
 
     ensure(spark)
-    return select.unique_matching(_mined(spark, d).select("s", "t", "dice"), "s", "t", "dice", F.concat_ws("\0", "s", "t"))
+    return select.unique_matching(_mined(spark, d).select("s", "t", "dice"), "s", "t", "dice", select.seeded("matching", F.col("s"), F.col("t")))
 
 
 @query()

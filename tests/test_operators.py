@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import queries
 from millrace.functions import spans as S
 from millrace.functions import text as X
 from millrace.operators import audit, dedup, evaluate, generate, glossary, leakage, quality, select
@@ -159,6 +160,25 @@ def test_first_owner_caps_and_matching(spark):
     assert got == want
 
 
+def test_matching_takes_every_round_it_needs(spark, monkeypatch):
+    n = 33
+    block = spark.createDataFrame([(f"s{i:02}", f"t{j:02}", 1.0) for i in range(n) for j in range(n)], "s string, t string, dice double")
+    by_text = F.concat_ws("\0", "s", "t")  # a match a round
+    assert {(r.s[1:], r.t[1:]) for r in select.unique_matching(block, "s", "t", "dice", by_text).collect()} == {(f"{i:02}", f"{i:02}") for i in range(n)}
+    with pytest.raises(RuntimeError, match="edges are left"):
+        select.unique_matching(block, "s", "t", "dice", by_text, most_rounds=3)
+    monkeypatch.setattr(queries, "_mined", lambda spark, d: block)
+    got = queries.greedy_matching(spark, "").collect()
+    assert len(got) == len({r.s for r in got}) == len({r.t for r in got}) == n
+    order = block.orderBy(select.seeded("matching", F.col("s"), F.col("t"))).collect()
+    used, want = set(), set()
+    for r in order:
+        if r.s not in used and r.t not in used:
+            used |= {r.s, r.t}
+            want.add((r.s, r.t))
+    assert {(r.s, r.t) for r in got} == want
+
+
 def test_leaks(spark):
     items = spark.createDataFrame([("1", "김칫국부터 마시지 마."), ("2", "전혀 다른 문장입니다")], "item_id string, text string")
     rows = spark.createDataFrame([(10, "또 김칫국부터 마시지 마…"), (11, "관계없는 줄")], "doc_id int, text string")
