@@ -13,6 +13,10 @@
    the two columns through sequential files in a temporary folder. Neighbours
    in suffix order with a common prefix of ``length`` or more hold the same
    window; all but the earliest are later occurrences.
+4. A group of more than ``bound`` bytes (a passage that very many documents
+   share) is not built by one task: its windows are hashed (118 bits), equal
+   ones of a slice of text meet before the shuffle, and the rest are dealt by
+   their hash.
 
 Anchors that turn up very often in a sample rank behind all others. That
 balances the groups, it never changes a result: the order is the same for all.
@@ -37,11 +41,11 @@ from pyspark.sql import functions as F
 
 from ._kernel import Spans, kgrams, runs, sliding_min
 from ._spark import KEY, Slice, keyed, slices, text_bytes
-from .repeats import Judged, by_document, dealt, pieces, texts, whole_groups, without
+from .repeats import Judged, by_document, collapsed, dealt, pieces, texts, whole_groups, without
 
 LENGTH, GRAM = 100, 32
 POS_BITS = 22
-COLLECTION = 2 << 20  #: symbols of one collection; a larger group is split by window content
+COLLECTION = 2 << 20  #: symbols of one collection; the windows of a larger group are dealt out
 SAMPLE_IN, HOT_SHARE, HOT_MOST = 32, 2000, 4096
 
 
@@ -282,21 +286,53 @@ def hot_anchors(rows: DataFrame, length: int, k: int) -> Hot:
     return Hot(np.array([r["route"] for r in top if r["n"] >= least], np.int64).view(np.uint64))
 
 
-def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = GRAM) -> DataFrame:
+def oversized(j: Judged, length: int, bound: int) -> np.ndarray:
+    """For the first of each content: whether its group's contents have more than ``bound`` bytes together."""
+    if not len(j.first):
+        return np.zeros(0, bool)
+    head = runs(j.route[j.first])
+    size = np.add.reduceat(j.n[j.first] + length - 1, head)
+    return np.repeat(size > bound, np.diff(np.r_[head, len(j.first)]))
+
+
+def window_pieces(s: Slice, row: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> pa.RecordBatch:
+    """The windows of the ranges [a, b) of a slice's rows, as pieces of no length of their own."""
+    n = b - a - length + 1
+    row = np.repeat(row, n)
+    at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    place = s.offs[row] + at
+    hashes = (Spans(s.data, which)(place, place + length) for which in (0, 1))
+    return collapsed(*hashes, s.keys[row].astype(np.int64), at, at)
+
+
+def later_of(windows: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """Spans of the later windows of whole groups of window pieces, touching ones merged."""
+    j = Judged(windows)
+    k, a = j.key[j.later], j.a[j.later]
+    o = np.lexsort((a, k))
+    k, a = k[o], a[o]
+    new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (a[1:] > a[:-1] + length)]) if len(k) else o
+    last = np.r_[new[1:], len(k)] - 1 if len(k) else o
+    return pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(a[new].astype(np.int32)), pa.array((a[last] + length).astype(np.int32))], names=[KEY, "a", "b"])
+
+
+def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = GRAM, bound: int = COLLECTION) -> DataFrame:
     """(_key, _id, n_bytes, n_spans, kept binary) of each document without its later strings of ``length`` bytes."""
     if not 1 <= k <= length:
         raise ValueError("k must be between 1 and length")
+    if bound > COLLECTION:
+        raise ValueError(f"bound must be at most {COLLECTION}")
     rows = keyed(docs, id_col, text_col)
     hot = hot_anchors(rows, length, k)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Byte ranges of later segments, and of the first of each content where a group has several."""
+        """Byte ranges of later segments, and of the first of each content where a group has several; grp 0: its windows are dealt out."""
         for t in whole_groups(batches, "route"):
             j = Judged(t)
-            compare = j.first[j.contents > 1]
+            compare, wide = j.first[j.contents > 1], oversized(j, length, bound)[j.contents > 1]
             both = np.r_[j.later, compare]
             a = j.a[both]
-            group = np.where(np.arange(len(both)) < len(j.later), 0, j.route[both])
+            group = np.r_[np.zeros(len(j.later), np.int64), np.where(wide, 0, j.route[compare])]
             yield pa.RecordBatch.from_arrays([pa.array(j.key[both]), pa.array(a.astype(np.int32)), pa.array((a + j.n[both] + length - 1).astype(np.int32)), pa.array(np.arange(len(both)) >= len(j.later)), pa.array(group)], names=[KEY, "a", "b", "compare", "grp"])
 
     judged = dealt(pieces(rows, cut_segments(length, k, hot))).mapInArrow(judge, "_key long, a int, b int, compare boolean, grp long")
@@ -304,21 +340,34 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = texts(rows).join(marks, KEY, "inner")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(group, key, a, bytes) of the segments to compare."""
+        """(group, key, a, bytes) of the segments to compare; of oversized groups the windows, with a digest and no bytes."""
         for batch in batches:
             for s in slices(batch):
                 lists = batch.column("marks").slice(s.rows.start, len(s))
                 flat, lens = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
                 a, b, compare, grp = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
                 row = np.repeat(np.arange(len(s)), lens)[compare]
-                a, b = a[compare].astype(np.int64), b[compare].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(grp[compare]), pa.array(s.keys[row], pa.int64()), pa.array(a.astype(np.int32)), _cut(s.data, s.offs[row] + a, s.offs[row] + b)], names=["grp", KEY, "a", "bytes"])
+                grp, a, b = grp[compare], a[compare].astype(np.int64), b[compare].astype(np.int64)
+                wide = grp == 0
+                if wide.any():
+                    w = window_pieces(s, row[wide], a[wide], b[wide], length)
+                    yield pa.RecordBatch.from_arrays([w.column("route"), w.column(KEY), w.column("a"), pa.nulls(w.num_rows, pa.binary()), w.column("digest")], names=names)
+                    grp, row, a, b = grp[~wide], row[~wide], a[~wide], b[~wide]
+                yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(s.keys[row], pa.int64()), pa.array(a.astype(np.int32)), _cut(s.data, s.offs[row] + a, s.offs[row] + b), pa.nulls(len(grp), pa.int64())], names=names)
 
-    parts = marked.mapInArrow(fetch, "grp long, _key long, a int, bytes binary")
+    names = ["grp", KEY, "a", "bytes", "digest"]
+    parts = marked.mapInArrow(fetch, "grp long, _key long, a int, bytes binary, digest long")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for t in whole_groups(batches, "grp"):
+            single = t.column("bytes").is_null()
+            if t.column("bytes").null_count:
+                w = t.filter(single)
+                yield later_of(pa.RecordBatch.from_arrays([w.column("grp"), w.column("digest"), w.column(KEY), w.column("a")], names=["route", "digest", KEY, "a"]), length)
+                t = t.filter(pc.invert(single))
+                if not t.num_rows:
+                    continue
             n = t.column("bytes").nbytes
             if held and size + n > COLLECTION:
                 yield _compare(pa.concat_batches(held), length)

@@ -7,9 +7,9 @@ import pytest
 from brute import lines, strings
 
 from millrace.llm.line_dedup import dedup_lines, op5_line_dedup
-from millrace.llm.repeats import whole_groups
+from millrace.llm.repeats import Judged, whole_groups
 from millrace.llm.substring_dedup import boundaries, dedup_substrings, gear
-from millrace.llm.suffix_dedup import Hot, collection, dedup_strings, op10_suffix_dedup, segments
+from millrace.llm.suffix_dedup import Hot, collection, dedup_strings, op10_suffix_dedup, oversized, segments
 
 
 def documents(spark, sf):
@@ -60,6 +60,28 @@ def test_small_alphabet_strings(spark):
     assert got == {k: v[:3] for k, v in strings([(k, t.encode()) for k, t in docs], 9).items()}
 
 
+def test_oversized_groups_are_dealt_out_by_window(spark):
+    rnd = random.Random(4)
+    text = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    passage = text(350)
+    docs = [(i, text(rnd.randint(0, 150)) + passage[rnd.randint(0, 9) :] + text(rnd.randint(0, 150))) for i in range(150)] + [(1000 + i, text(400)) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {k: v[:3] for k, v in strings([(k, t.encode()) for k, t in docs]).items()}
+    for bound in (0, 2000, 1 << 20):
+        got = {r._key: (r.n_bytes, r.n_bytes - len(r.kept), r.n_spans) for r in dedup_strings(df, bound=bound).collect()}
+        assert got == want, bound
+
+
+def test_windows_of_a_group_over_the_bound_never_reach_one_collection():
+    import pyarrow as pa
+
+    n = 40
+    batch = pa.record_batch({"route": pa.array([1] * n + [2] * 2), "digest": pa.array([(i << 10) | 60 for i in range(n + 2)]), "_key": pa.array(range(n + 2)), "a": pa.array([0] * (n + 2), pa.int32())})
+    j = Judged(batch)
+    assert oversized(j, 100, 159 * n - 1).tolist() == [True] * n + [False] * 2
+    assert not oversized(j, 100, 159 * n).any()
+
+
 def test_collection_is_sorted_with_its_common_prefixes():
     rnd = random.Random(5)
     for _ in range(50):
