@@ -102,10 +102,10 @@ def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
     base, at = {}, 0
     for p in sorted(counts):
         base[p], at = at, at + counts[p]
-    shift = F.create_map(*[F.lit(x) for kv in base.items() for x in kv]) if base else None
+    shift = ranged.sparkSession.createDataFrame(list(base.items()), "_part int, _shift long")  # a row per partition
     low = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    key = (low + shift[part]) if base else F.col("_at")
-    return ranged.select(key.cast("long").alias(KEY), *rows.columns)
+    placed = ranged.join(F.broadcast(shift), part == F.col("_part"))
+    return placed.select((low + F.col("_shift")).alias(KEY), *rows.columns)
 
 
 class Slice:
