@@ -1,23 +1,33 @@
 """MinHash near-dedup with DartMinHash signatures.
 
-A document is the multiset of its five-word shingles (lower-case words; a
-document of one to four words is one shingle). Each occurrence of a shingle is
-a region of unit weight into which darts are thrown by a hashed Poisson
-process: a dart has a rank and falls on one of ``k`` coordinates. A coordinate
+A document is a weighted set: its distinct five-word shingles (lower-case
+words; a document of one to four words is one shingle), each weighted by how
+often it occurs. An element's weight axis is cut into regions, [0, finest) and
+then doubling ones; into each region up to the element's weight darts are
+thrown by a hashed Poisson process. A dart has a rank, a place on the weight
+axis (one beyond the weight misses) and one of ``k`` coordinates. A coordinate
 keeps the dart of smallest rank, so two documents agree there with the
-probability of their weighted Jaccard similarity. Only about k * (ln k + 5)
-darts a document are thrown; where a coordinate stays empty, the process is
-continued.
+probability of their weighted Jaccard similarity, for any non-negative weights.
+Only about k * (ln k + 5) darts a document hit; where a coordinate stays
+empty, the process is continued.
 
 1. Documents with the same words form one class; its smallest key stands for
    it from here on.
-2. Signatures are cut into bands. Documents that share a band are compared
-   with the bucket's pivot, not with each other; pairs whose signatures agree
-   too little are dropped, the rest get their exact weighted Jaccard similarity.
-3. Links of 0.8 and more join components. Rounds with other pivots go on for
-   buckets that still hold several components. At the end every remaining pair
-   of different components in one bucket is compared, so no link between
-   candidates is lost to the choice of a pivot.
+2. Signatures are cut into bands. Documents that share a band form a bucket;
+   buckets with the same members are one.
+3. A bucket is a cell, or if it is large, several cells of its members by hash,
+   each with the bucket's smallest key as well. In a cell the exact weighted
+   Jaccard similarity decides, by an inverted index over the cell's shingles: the
+   smallest key is compared with all, then every member outside the largest
+   component so far with all. Only a spanning forest of links leaves the cell.
+4. Where a bucket of several cells still has members outside its largest
+   component, those are compared with its members of all other cells.
+   So every two documents that share a band and are not connected by links
+   have been compared.
+
+The work is linear in a group whose members link to each other. Only members of
+a large bucket that link with next to nothing there cost a comparison with all
+of it; no pairs are emitted for that either.
 
 Defined results: texts that are null or hold no word link with nothing; rows
 with null or repeated ids are documents of their own, nulls first, then by text;
@@ -35,19 +45,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._kernel import Spans, lowered, mix, runs, words
-from ._spark import KEY, TEXT, checkpoint, keyed, named, release, slices, stored
+from ._spark import KEY, TEXT, checkpoint, keyed, named, slices, stored, text_bytes
 from .components import components
+from .repeats import whole_groups
 
 SHINGLE, SIMILARITY = 5, 0.8
 COORDINATES, ROWS = 64, 4
-SLACK = 0.28  #: an agreement this far below the similarity is over five standard deviations off
-ROUNDS = 4
+CELL, CELL_ELEMENTS = 1024, 1 << 22  #: members and shingles of a cell; a larger bucket has several
+TOGETHER = 4 << 20  #: bytes of text of cells whose shingles are taken at once
 
+_STEP, _REGION, _PLACE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xA24BAED4963EE407, 0xD6E8FEB86659FD93))
 
-def shingles(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, unit, fingerprint of each row's words): one unit per shingle occurrence, equal for the i-th of equal ones.
 
-    Units are sorted by row. The fingerprint is 0 for rows without a word.
+def shingles(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, element, weight, fingerprint of each row's words): the distinct shingles of each row and how often they occur.
+
+    Elements are sorted by row. The fingerprint is 0 for rows without a word.
     """
     n = len(offs) - 1
     x = lowered(data)
@@ -55,17 +68,17 @@ def shingles(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[n
     h = Spans(x)(start, end)
     prints = np.zeros(n, np.uint64)
     if not len(h):
-        return row, h, prints
+        return row, h, np.zeros(0), prints
     first = runs(row)
     count = np.diff(np.r_[first, len(row)])
     at = np.arange(len(row)) - np.repeat(first, count)
-    prints[row[first]] = mix(np.add.reduceat(mix(h + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first)) | np.uint64(1)
+    prints[row[first]] = mix(np.add.reduceat(mix(h + at.astype(np.uint64) * _STEP), first)) | np.uint64(1)
     if len(h) >= size:
         s = h[: len(h) - size + 1].copy()
         for i in range(1, size):
             s = s * np.uint64(0xD1342543DE82EF95) + h[i : len(h) - size + 1 + i]
         inside = row[: len(s)] == row[size - 1 :]
-        s, r = s[inside], row[: len(inside)][inside]
+        s, r = mix(s[inside]), row[: len(inside)][inside]
     else:
         s, r = h[:0], row[:0]
     short = row[first][count < size]
@@ -73,49 +86,66 @@ def shingles(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[n
     order = np.lexsort((s, r))
     s, r = s[order], r[order]
     head = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (r[1:] != r[:-1])])
-    nth = np.arange(len(s)) - np.repeat(head, np.diff(np.r_[head, len(s)]))
-    return r, mix(s + nth.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), prints
+    return r[head], s[head], np.diff(np.r_[head, len(s)]).astype(float), prints
+
+
+def _uniform(seed: np.ndarray) -> np.ndarray:
+    return ((seed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def darts(row: np.ndarray, unit: np.ndarray, n: int, k: int = COORDINATES) -> np.ndarray:
-    """(n, k) uint32 signatures of rows given by their units; rows without units get zeros.
+def darts(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, k: int = COORDINATES, finest: float = 1.0) -> np.ndarray:
+    """(n, k) uint32 signatures of rows given by their weighted elements; rows of no weight get zeros.
 
-    Arrival i of a unit comes an exponential step after arrival i - 1.
+    ``finest`` is the width of the lowest region, the same for all documents
+    that are to be compared; a small part of the usual weight keeps few darts
+    from missing. Within a region ranks arrive in order: arrival i comes an
+    exponential step, by the region's width, after arrival i - 1.
     """
-    best = np.full(n * k, np.iinfo(np.uint64).max, np.uint64)
-    size = np.bincount(row, minlength=n)
-    limit = k * (math.log(k) + 5) / np.maximum(size, 1)
-    u, r, rank = unit, row, np.zeros(len(unit))
-    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    arrival = np.zeros(len(unit), np.uint64)
-    while len(u):
-        seed = mix(u + arrival * np.uint64(0x9E3779B97F4A7C15))
-        rank = rank - np.log(((seed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-        hit = rank <= limit[r]
+    some = weight > 0
+    row, element, weight = row[some], element[some], weight[some].astype(float)
+    none = np.iinfo(np.uint64).max
+    best = np.full(n * k, none, np.uint64)
+    total = np.bincount(row, weight, minlength=n)
+    limit = k * (math.log(k) + 5) / np.where(total > 0, total, 1)
+    regions = np.ones(len(row), np.int64)
+    wide = weight > finest
+    regions[wide] += np.ceil(np.log2(weight[wide] / finest)).astype(np.int64)
+    of = np.repeat(np.arange(len(row)), regions)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(regions) - regions, regions)
+    low = np.where(nth > 0, finest * 2.0 ** (nth - 1), 0.0)
+    width = np.where(nth > 0, low, finest)
+    region_row, seed_of = row[of], mix(element[of] + nth.astype(np.uint64) * _REGION)
+    reach = (weight[of] - low) / width  # a dart at a larger part of the region misses
+    e, rank, arrival = np.arange(len(of)), np.zeros(len(of)), np.zeros(len(of), np.uint64)
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(e):
+        seed = mix(seed_of[e] + arrival * _STEP)
+        before, rank = rank, rank - np.log(_uniform(seed)) / width[e]
+        hit = rank <= limit[region_row[e]]
         if not hit.all():
             miss = ~hit
-            waiting.append((u[miss], r[miss], rank[miss], arrival[miss]))
-            u, r, rank, arrival, seed = u[hit], r[hit], rank[hit], arrival[hit], seed[hit]
-        which = mix(seed)
-        packed = (rank.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (which & np.uint64(0xFFFFFFFF))
-        np.minimum.at(best, r * k + ((which >> np.uint64(32)) % np.uint64(k)).astype(np.int64), packed)
+            waiting.append((e[miss], before[miss], arrival[miss]))
+            e, rank, arrival, seed = e[hit], rank[hit], arrival[hit], seed[hit]
+        inside = np.flatnonzero((reach[e] >= 1) | (_uniform(mix(seed ^ _PLACE)) < reach[e]))
+        which = mix(seed[inside])
+        packed = rank[inside].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)
+        place = region_row[e[inside]] * k + ((which >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
+        np.minimum.at(best, place, packed | (which & np.uint64(0xFFFFFFFF)))
         arrival = arrival + np.uint64(1)
-        if not len(u):
-            open_ = np.unique(np.flatnonzero(best == np.iinfo(np.uint64).max) // k)
-            open_ = open_[size[open_] > 0]
+        if not len(e):
+            open_ = np.unique(np.flatnonzero(best == none) // k)
+            open_ = open_[total[open_] > 0]
             if not len(open_):
                 break
             more = np.zeros(n, bool)
             more[open_] = True
             limit[open_] *= 2
-            parts = [tuple(x[more[w[1]]] for x in w) for w in waiting]
-            u, r, rank, arrival = (np.concatenate(x) for x in zip(*parts, strict=True))
+            e, rank, arrival = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            again = more[region_row[e]]
+            e, rank, arrival = e[again], rank[again], arrival[again]
             waiting = []
-            # the dart that lay beyond the old limit is thrown again by its own seed
-            seed = mix(u + arrival * np.uint64(0x9E3779B97F4A7C15))
-            rank = rank + np.log(((seed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
     sig = (best & np.uint64(0xFFFFFFFF)).astype(np.uint32).reshape(n, k)
-    sig[size == 0] = 0
+    sig[total == 0] = 0
     return sig
 
 
@@ -123,7 +153,7 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """(n, k / rows) int64 bucket hashes, different for different bands."""
     n, k = sig.shape
     x = sig.astype(np.uint64).reshape(n, k // rows, rows)
-    h = np.broadcast_to(np.arange(1, k // rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), x.shape[:2]).copy()
+    h = np.broadcast_to(np.arange(1, k // rows + 1, dtype=np.uint64) * _STEP, x.shape[:2]).copy()
     for i in range(rows):
         h = mix(h * np.uint64(0xD1342543DE82EF95) + x[:, :, i])
     return h.view(np.int64)
@@ -132,132 +162,147 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in slices(batch):
-            row, unit, prints = shingles(s.data, s.offs)
-            sig = darts(row, unit, len(s))
-            yield pa.RecordBatch.from_arrays([pa.array(s.keys), pa.array(prints.view(np.int64)), pa.array([sig[i].tobytes() if prints[i] else None for i in range(len(s))], pa.binary())], names=[KEY, "print", "sig"])
-
-
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(KEY).to_numpy()
-        b = bands(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(len(key), -1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, b.shape[1])), pa.array(b.ravel())], names=[KEY, "bucket"])
-
-
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for s in slices(batch):
-            row, unit, _ = shingles(s.data, s.offs)
-            at = np.searchsorted(row, np.arange(len(s) + 1))
-            out = [np.sort(unit[i:j]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(s.keys), pa.array(out, pa.binary())], names=[KEY, "units"])
-
-
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted arrays of units; no unit is twice in one of them."""
-    both = np.sort(np.concatenate([x, y]))
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return common / (len(both) - common) if len(both) else 0.0
-
+            row, element, weight, prints = shingles(s.data, s.offs)
+            b = bands(darts(row, element, weight, len(s)))
+            size = np.bincount(row, minlength=len(s))
+            lists = pa.ListArray.from_arrays(np.arange(0, b.size + 1, b.shape[1], dtype=np.int32), b.ravel())
+            columns = [s.keys, prints.view(np.int64), size, lists]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[KEY, "print", "size", "buckets"])
+
+
+class Index:
+    """The similarity of a document of a cell with all others at once."""
+
+    def __init__(self, row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int):
+        order = np.argsort(element, kind="stable")
+        head = runs(element[order])
+        times = np.diff(np.r_[head, len(order)])
+        self.n, self.total = n, np.bincount(row, weight, minlength=n)
+        at = np.empty(len(order), np.int64)
+        at[order] = np.repeat(np.arange(len(head)), times)
+        shared = times[at] > 1  # others add nothing in common
+        self.of, self.own, mine = at[shared], weight[shared], row[shared]
+        self.first = np.searchsorted(mine, np.arange(n + 1))
+        self.head, self.times = head, times
+        self.row, self.weight = row[order], weight[order]
+
+    def similar(self, x: int) -> np.ndarray:
+        """Weighted Jaccard similarity of x with each document."""
+        mine = slice(self.first[x], self.first[x + 1])
+        of, times = self.of[mine], self.times[self.of[mine]]
+        at = np.arange(times.sum()) + np.repeat(self.head[of] - (np.cumsum(times) - times), times)
+        common = np.bincount(self.row[at], np.minimum(np.repeat(self.own[mine], times), self.weight[at]), minlength=self.n)
+        either = self.total + self.total[x] - common
+        return common / np.where(either > 0, either, 1)
+
+
+def forest(keys: np.ndarray, labels: np.ndarray, ask: np.ndarray, index: Index, similarity: float) -> list[tuple[int, int]]:
+    """Links that join all that is alike: each pair joins two components, given and grown by ``labels``.
+
+    Members marked in ``ask`` are compared with all, the smallest key first. If
+    all are marked, those within the component that is largest at the time
+    need no turn: whatever lies outside it has one.
+    """
+    labels, open_, out, every = labels.copy(), ask.copy(), [], bool(ask.all())
+    x = int(np.argmin(np.where(ask, keys, np.iinfo(np.int64).max)))
+    while True:
+        open_[x] = False
+        near = np.flatnonzero((index.similar(x) >= similarity - 1e-12) & (labels != labels[x]))
+        for y in near:
+            if labels[y] != labels[x]:
+                out.append((int(keys[x]), int(keys[y])))
+                labels[labels == labels[y]] = labels[x]
+        size = np.bincount(labels)
+        left = np.flatnonzero(open_ & (labels != size.argmax()) if every else open_)
+        if not len(left) or size.max() == len(labels):
+            return out
+        x = int(left[0])
+
+
+def _linked(similarity: float):
+    """Links of whole cells (cell, _key, root, ask, _text): those of the same root need no link."""
 
-def _alike(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("ua"), batch.column("ub")
-            ok = [jaccard(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)) >= similarity - 1e-12 for p, q in zip(x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for t in whole_groups(batches, "cell"):
+            data, offs = text_bytes(t.column(TEXT))
+            keys, root, ask = (t.column(c).to_numpy(zero_copy_only=False) for c in (KEY, "root", "ask"))
+            head = runs(t.column("cell").to_numpy())
+            until = np.r_[head[1:], t.num_rows]
+            out: list[tuple[int, int]] = []
+            at = 0
+            while at < len(head):  # some cells at a time
+                end = max(at + 1, int(np.searchsorted(offs[until], offs[head[at]] + TOGETHER, "right")))
+                a, b = head[at], until[end - 1]
+                row, element, weight, _ = shingles(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                for i, j in zip(head[at:end], until[at:end], strict=True):
+                    if not ask[i:j].any() or root[i:j].min() == root[i:j].max():
+                        continue
+                    x, y = np.searchsorted(row, [i - a, j - a])
+                    index = Index(row[x:y] - (i - a), element[x:y], weight[x:y], j - i)
+                    out += forest(keys[i:j], np.unique(root[i:j], return_inverse=True)[1], ask[i:j], index, similarity)
+                at = end
+            ends = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1))], names=["a", "b"])
 
     return run
 
 
-def _near(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= least))
-
-    return run
+def _links(cells: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) within cells (bucket, part, _key, root, ask)."""
+    dealt = rows.select(KEY, TEXT).join(cells, KEY).select(F.xxhash64("bucket", "part").alias("cell"), KEY, "root", "ask", TEXT)
+    return stored(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_linked(similarity), "a long, b long"), "links")
 
 
-class Links:
-    """Verification of candidate pairs: signatures first, then the exact similarity.
+def _part(parts: str | F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(KEY, F.lit(7)), parts)
 
-    The shingles of all documents in shared buckets are taken once, with the
-    only shuffle of texts.
-    """
 
-    def __init__(self, rows: DataFrame, reps: DataFrame, members: DataFrame, similarity: float):
-        need = members.select(KEY).distinct()
-        self.sig = stored(reps.join(need, KEY, "left_semi"), "candidates")
-        self.units = stored(rows.select(KEY, TEXT).join(need, KEY, "left_semi").mapInArrow(_units, f"{KEY} long, units binary"), "units")
-        self.similarity = similarity
+def _rest(wide: DataFrame, links: DataFrame, cell: int) -> DataFrame:
+    """Cells for the members of wide buckets that are outside their bucket's largest component, with those of all other parts."""
+    root = components(links)
+    state = wide.join(root, F.col(KEY) == F.col("node"), "left").select("bucket", "parts", KEY, F.coalesce("root", KEY).alias("root"))
+    state = checkpoint(state)
+    sizes = state.groupBy("bucket", "root").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("n"))
+    main = main.select("bucket", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.m")) / cell).cast("int").alias("asks")).filter("asks > 0")
+    both = state.join(main, "bucket")
+    mine = F.pmod(F.xxhash64(KEY, F.lit(11)), "asks").cast("int")
+    ask = both.filter("root <> main").select("bucket", KEY, "root", F.lit(True).alias("ask"), mine.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
+    all_ = both.select("bucket", KEY, "root", F.lit(False).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("p"), _part("parts").cast("int").alias("q"))
+    return ask.union(all_).select("bucket", F.struct("p", "q").alias("part"), KEY, "root", "ask")
 
-    def of(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are alike, checkpointed."""
-        both = pairs.join(self.sig.toDF("a", "sa"), "a").join(self.sig.toDF("b", "sb"), "b")
-        near = checkpoint(both.mapInArrow(_near(self.similarity - SLACK), "a long, b long"))
-        found = near.join(self.units.toDF("a", "ua"), "a").join(self.units.toDF("b", "ub"), "b").select("a", "b", "ua", "ub")
-        return checkpoint(found.mapInArrow(_alike(self.similarity), "a long, b long"))
 
-
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, cell: int = CELL
+) -> DataFrame:
     """(_key, _id, class_key, kept) of each document: its near-duplicate class by its smallest member, and whether it is that one."""
     rows = keyed(docs, id_col, text_col)
-    signed = stored(rows.select(KEY, TEXT).mapInArrow(_signed, f"{KEY} long, print long, sig binary"), "signatures")
-    known = signed.filter("sig IS NOT NULL").withColumn("check", F.xxhash64("sig"))
+    signed = stored(rows.select(KEY, TEXT).mapInArrow(_signed, f"{KEY} long, print long, size long, buckets array<long>"), "signatures")
+    known = signed.filter("print <> 0").withColumn("check", F.xxhash64("buckets"))
     copies = known.groupBy("print", "check").agg(F.min(KEY).alias("rep"))
-    reps = stored(known.join(copies, F.col(KEY) == F.col("rep"), "left_semi").select(KEY, "sig"), "representatives")
-    banded = reps.mapInArrow(_banded, f"{KEY} long, bucket long")
+    reps = known.join(copies, F.col(KEY) == F.col("rep"), "left_semi")
+    banded = reps.select(KEY, "size", F.explode("buckets").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = stored(banded.join(shared, "bucket"), "buckets")
-    links = Links(rows, reps, members, similarity)
-    root = None
-    for i in range(rounds + 1):
-        state = members if root is None else members.join(root, F.col(KEY) == F.col("node"), "left").select(KEY, "bucket", F.coalesce("root", KEY).alias("root"))
-        if root is None:
-            state = state.withColumn("root", F.col(KEY))
-        split = state.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct((F.xxhash64(F.lit(i), KEY) if i else F.col(KEY)).alias("turn"), F.col(KEY).alias("pivot"), F.col("root").alias("pivot_root"))).alias("p"), F.count("*").alias("n")).filter("lo < hi")
-        if i and split.isEmpty():
-            break
-        if i < rounds:
-            open_ = state.join(split.select("bucket", "p.pivot", "p.pivot_root"), "bucket").filter("root <> pivot_root")
-            pairs = open_.select(F.least(KEY, "pivot").alias("a"), F.greatest(KEY, "pivot").alias("b")).distinct()
-        else:  # what pivots left open: members outside a bucket's largest component against all others
-            size = state.join(split.select("bucket"), "bucket", "left_semi").groupBy("bucket", "root").agg(F.count("*").alias("m"))
-            main = size.groupBy("bucket").agg(F.max(F.struct("m", "root")).getField("root").alias("main"))
-            rest = state.join(main, "bucket").filter("root <> main").select("bucket", F.col(KEY).alias("x"), F.col("root").alias("x_root"))
-            pairs = state.join(rest, "bucket").filter("root <> x_root").select(F.least(KEY, "x").alias("a"), F.greatest(KEY, "x").alias("b")).distinct()
-        found = links.of(pairs)
-        fresh = found if root is None else _labelled(found, root)
-        if fresh.isEmpty():
-            continue
-        joined = components(fresh)
-        root = joined if root is None else checkpoint(_merged_roots(root, joined))
-        del state, split, pairs, found, fresh, joined
-        release(rows.sparkSession)
-    class_of = copies.withColumnRenamed("rep", "class_key") if root is None else copies.join(root, F.col("rep") == F.col("node"), "left").select("print", "check", F.coalesce("root", "rep").alias("class_key"))
-    out = signed.select(KEY, "print", F.xxhash64("sig").alias("check"), F.col("sig").isNull().alias("none"))
-    out = out.join(class_of, ["print", "check"], "left").select(KEY, F.when(F.col("none"), F.col(KEY)).otherwise(F.coalesce("class_key", KEY)).alias("class_key"))
-    return named(rows, out.withColumn("kept", F.col(KEY) == F.col("class_key")))
-
-
-def _labelled(found: DataFrame, root: DataFrame) -> DataFrame:
-    """Links between the components so far."""
-    out = found
-    for c in ("a", "b"):
-        out = out.join(root.toDF(f"n{c}", f"r{c}"), F.col(c) == F.col(f"n{c}"), "left").withColumn(c, F.coalesce(f"r{c}", c)).select("a", "b")
-    return out.filter("a <> b")
-
-
-def _merged_roots(root: DataFrame, joined: DataFrame) -> DataFrame:
-    """Old members under their components' new roots, and components that were single documents."""
-    new = joined.toDF("node2", "root2")
-    old = root.join(new, F.col("root") == F.col("node2"), "left").select("node", F.coalesce("root2", "root").alias("root"))
-    return old.union(new.join(root, F.col("node2") == F.col("node"), "left_anti").select("node2", "root2")).filter("node <> root")
+
+    once, again = F.bit_xor(F.xxhash64(KEY)).alias("x"), F.bit_xor(F.xxhash64(KEY, F.lit(1))).alias("y")
+    sets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("elements"), F.min(KEY).alias("pivot"), once, again)
+    parts = F.ceil(F.greatest(F.col("n") / cell, F.col("elements") / CELL_ELEMENTS)).cast("int").alias("parts")
+    sets = sets.groupBy("n", "elements", "pivot", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "pivot", parts)
+    held = stored(members.select(KEY, "bucket").join(sets, "bucket"), "cells")
+    cells = held.select("bucket", _part("parts").alias("part"), KEY, F.col(KEY).alias("root"), F.lit(True).alias("ask"))
+    wide = held.filter("parts > 1").select("bucket", "parts", KEY, "pivot")
+    pivots = wide.filter(F.col(KEY) == F.col("pivot")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pivots = pivots.filter(F.col("part") != _part("parts")).select("bucket", "part", KEY, F.col(KEY).alias("root"), F.lit(True).alias("ask"))
+    links = _links(cells.union(pivots), rows, similarity)
+    if not wide.isEmpty():
+        links = links.union(_links(_rest(wide, links, cell), rows, similarity))
+    root = components(links)
+
+    class_of = copies.join(root, F.col("rep") == F.col("node"), "left").select("print", "check", F.coalesce("root", "rep").alias("class_key"))
+    out = signed.select(KEY, "print", F.xxhash64("buckets").alias("check")).join(class_of, ["print", "check"], "left")
+    class_key = F.coalesce("class_key", KEY).alias("class_key")
+    return named(rows, out.select(KEY, class_key).withColumn("kept", F.col(KEY) == F.col("class_key")))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -287,7 +287,7 @@ def test_signatures_agree_as_often_as_sets_are_alike():
             a = rnd.integers(0, 2**63, 300).astype(np.uint64)
             n = int(2 * share * 300 / (1 + share))
             b = np.r_[a[:n], rnd.integers(0, 2**63, 300 - n).astype(np.uint64)]
-            s = minhash.darts(np.r_[np.zeros(300, int), np.ones(300, int)], np.r_[a, b], 2)
+            s = minhash.darts(np.r_[np.zeros(300, int), np.ones(300, int)], np.r_[a, b], np.ones(600), 2)
             hits.append((s[0] == s[1]).mean())
         assert abs(np.mean(hits) - share) < 0.04
 
@@ -296,11 +296,43 @@ def test_darts_do_not_depend_on_the_batch():
     rnd = np.random.default_rng(2)
     row = np.sort(rnd.integers(0, 30, 900))
     unit = rnd.integers(0, 2**63, 900).astype(np.uint64)
-    joint = minhash.darts(row, unit, 31)
+    weight = rnd.choice([0.0, 0.25, 1.0, 2.0, 3.7], 900)
+    joint = minhash.darts(row, unit, weight, 31, finest=0.5)
     assert (joint[30] == 0).all()
     for i in range(30):
         m = row == i
-        assert (minhash.darts(np.zeros(m.sum(), int), unit[m], 1)[0] == joint[i]).all()
+        assert (minhash.darts(np.zeros(m.sum(), int), unit[m], weight[m], 1, finest=0.5)[0] == joint[i]).all()
+
+
+@pytest.mark.parametrize("finest", [0.03, 1.0, 100.0])
+def test_signatures_follow_arbitrary_weights(finest):
+    rnd = np.random.default_rng(5)
+    hits, want = [], []
+    for _ in range(60):
+        e = rnd.integers(0, 2**63, 120).astype(np.uint64)
+        x, y = (rnd.choice([0.0, 0.1, 0.7, 1.0, 4.0, 9.3], 120, p=[0.1, 0.1, 0.2, 0.3, 0.2, 0.1]) for _ in range(2))
+        y = np.where(rnd.random(120) < 0.7, x, y)
+        s = minhash.darts(np.repeat([0, 1], 120), np.r_[e, e], np.r_[x, y], 2, finest=finest)
+        hits.append((s[0] == s[1]).mean())
+        want.append(np.minimum(x, y).sum() / np.maximum(x, y).sum())
+    assert abs(np.mean(hits) - np.mean(want)) < 0.03
+
+
+def test_a_large_bucket_in_several_cells(spark):
+    """Near copies of one text with 0 to 60 edits of 150 words, in cells of 16: the same classes as by all pairs."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(6))
+    base = [word() for _ in range(150)]
+    docs = []
+    for k in range(120):
+        c = list(base)
+        for _ in range(rnd.randint(0, 14)):
+            c[rnd.randrange(len(c))] = word()
+        docs.append((k, " ".join(c)))
+    want = near_classes(docs)
+    assert 10 < len(set(want.values())) < 110
+    out = {r._id: r.class_key for r in minhash.classes(spark.createDataFrame(docs, "doc_id long, text string"), cell=16).collect()}
+    assert out == want
 
 
 def test_components(spark):
