@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY, TEXT = "_key", "_text"
+KEY, TEXT, DOC = "_key", "_text", "_doc"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,15 +74,22 @@ def _unique(rows: DataFrame) -> bool:
 
 
 def whole_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``_key`` as ``keyed`` gives it, ``_text``, ``_doc``: the struct of all columns) of each row.
+    """(``_key`` as ``keyed`` gives it, ``_text``, ``_doc``: the struct of all columns but the text) of each row.
 
     For stages that return whole rows: what an operator decides on ``_key`` and
-    ``_text`` comes back by ``_key``, which no two rows share.
+    ``_text`` comes back by ``_key``, which no two rows share, and the text
+    travels once. ``restored`` gives the columns back.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias(TEXT), F.struct(*docs.columns).alias("_doc"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias(DOC)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias(TEXT), rest)
     if _unique(rows):
-        return rows.select(F.col("_id").cast("long").alias(KEY), TEXT, "_doc")
-    return numbered(rows, [F.col("_id").asc_nulls_first(), F.col(TEXT).asc_nulls_first()]).select(KEY, TEXT, "_doc")
+        return rows.select(F.col("_id").cast("long").alias(KEY), TEXT, DOC)
+    return numbered(rows, [F.col("_id").asc_nulls_first(), F.col(TEXT).asc_nulls_first()]).select(KEY, TEXT, DOC)
+
+
+def restored(rows: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    """The columns that ``whole_rows`` took in."""
+    return rows.select(*[(F.col(TEXT) if c == text_col else F.col(DOC).getField(c)).alias(c) for c in columns])
 
 
 def named(rows: DataFrame, out: DataFrame) -> DataFrame:

@@ -20,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._kernel import Spans
-from ._spark import KEY, TEXT, Slice, keyed, named, text_bytes
-from .repeats import by_document, later_spans, pieces, ranges, texts
+from ._spark import DOC, KEY, TEXT, Slice, keyed, named, text_bytes, whole_rows
+from .repeats import by_document, later_spans, pieces, ranges
 
 NEWLINE = 10
 
@@ -55,12 +56,10 @@ def cut_windows(window: int):
     return cut
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
-    """(_key, _id, n_lines, n_removed, n_spans, kept string) of each document; ``kept`` is null where the text is."""
-    rows = keyed(docs, id_col, text_col)
-    spans = by_document(later_spans(pieces(rows, cut_windows(window))))
-    out = texts(rows).join(spans, KEY, "left")
+COUNTS = "n_lines long, n_removed long, n_spans long, kept string"
 
+
+def _without_lines(carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(TEXT)
@@ -69,18 +68,55 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             at, a, b = ranges(batch.column("spans"))
             kept, n_lines, n_removed, n_spans = [], [], [], []
             for i in range(batch.num_rows):
-                lines = data[offs[i] : offs[i + 1]].tobytes().split(b"\n")
-                gone = np.zeros(len(lines) + 1, np.int64)
-                np.add.at(gone, a[at[i] : at[i + 1]], 1)
-                np.add.at(gone, b[at[i] : at[i + 1]], -1)
-                gone = np.cumsum(gone)[:-1] > 0
-                n_lines.append(len(lines))
-                n_removed.append(int(gone.sum()))
-                n_spans.append(int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum()))
-                kept.append(b"\n".join(x for x, g in zip(lines, gone, strict=True) if not g).decode("utf-8", "replace") if known[i] else None)
-            yield pa.RecordBatch.from_arrays([batch.column(KEY), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string())], names=[KEY, "n_lines", "n_removed", "n_spans", "kept"])
-
-    return named(rows, out.mapInArrow(run, "_key long, n_lines long, n_removed long, n_spans long, kept string"))
+                raw = data[offs[i] : offs[i + 1]].tobytes()
+                if at[i] == at[i + 1]:  # nothing goes
+                    n_lines.append(raw.count(b"\n") + 1)
+                    n_removed.append(0)
+                    n_spans.append(0)
+                else:
+                    lines = raw.split(b"\n")
+                    gone = np.zeros(len(lines) + 1, np.int64)
+                    np.add.at(gone, a[at[i] : at[i + 1]], 1)
+                    np.add.at(gone, b[at[i] : at[i + 1]], -1)
+                    gone = np.cumsum(gone)[:-1] > 0
+                    n_lines.append(len(lines))
+                    n_removed.append(int(gone.sum()))
+                    n_spans.append(int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum()))
+                    raw = b"\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
+                kept.append(raw.decode("utf-8", "replace") if known[i] else None)
+            counts = [pa.array(x, pa.int64()) for x in (n_lines, n_removed, n_spans)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in carried), *counts, pa.array(kept, pa.string())], names=[*carried, "n_lines", "n_removed", "n_spans", "kept"]
+            )
+
+    return run
+
+
+def _removed(rows: DataFrame, carried: list[str], window: int) -> DataFrame:
+    """``carried`` columns of rows with ``_key`` and ``_text``, and the counts; the texts are shuffled once."""
+    spans = by_document(later_spans(pieces(rows, cut_windows(window))))
+    out = rows.select(*carried, TEXT).join(spans, KEY, "left")
+    schema = T.StructType([*(rows.schema[c] for c in carried), *T.StructType.fromDDL(COUNTS).fields])
+    return out.mapInArrow(_without_lines(carried), schema)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
+    """(_key, _id, n_lines, n_removed, n_spans, kept string) of each document; ``kept`` is null where the text is."""
+    rows = keyed(docs, id_col, text_col)
+    return named(rows, _removed(rows, [KEY], window))
+
+
+def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, window: int = 3) -> DataFrame:
+    """The rows of ``docs``, each once and with all its columns, with what stays as its text.
+
+    ``count_col`` holds the characters of the text and follows where it changes.
+    """
+    rows = whole_rows(docs, id_col, text_col)
+    out = _removed(rows, [KEY, DOC], window)
+    old = F.col(DOC).getField(count_col) if count_col else None
+    n = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema[count_col].dataType)).otherwise(old) if count_col else None
+    new = {text_col: F.col("kept")} | ({count_col: n} if count_col else {})
+    return out.select(*[new.get(c, F.col(DOC).getField(c)).alias(c) for c in docs.columns])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
