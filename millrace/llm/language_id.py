@@ -7,13 +7,14 @@ and takes the nearest codeword. The score is the softmax of the negative
 losses; a row is ambiguous where the runner-up is close.
 
 The classifiers are fitted on the driver from a bounded sample of labelled
-rows (``per_language`` rows of at most ``most_languages`` languages). Texts are
-scored whole, one pass, no shuffle.
+rows: about ``per_language`` rows of every language, fewer where that would be
+more than ``most_rows`` in all. Which rows those are follows from their ids
+alone. Texts are scored whole, one pass, no shuffle.
 
 Defined results: a text that is null or holds no letter is ``und`` with score
 0; rows keep their order and any id, null or repeated; no labelled rows give
 ``und`` for all; an empty table gives an empty result; other columns do not
-matter.
+matter, those named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._kernel import lowered
 from ._spark import TEXT, slices
 
 BUCKETS = 1 << 12
 ORDERS = (1, 2, 3, 4)
-PER_LANGUAGE, MOST_LANGUAGES = 1000, 200
+PER_LANGUAGE, MOST_ROWS = 1000, 20_000
+RESULTS = ("lang_pred", "score", "ambiguous")
 UND = "und"
 LETTERS = r"\p{L}"
 
@@ -136,39 +139,47 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], rounds: int = 300, r
     return model
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model | None:
-    """A model of the labelled rows, from about ``per_language`` rows of each of the most frequent languages."""
+def train(
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS
+) -> Model | None:
+    """A model of the labelled rows, from about ``per_language`` rows of each language and ``most_rows`` in all."""
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().collect()  # a row per language
     if not counts:
         return None
-    draw = F.pmod(F.xxhash64(F.lit(11), F.col(id_col).cast("string")), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(min(1.0, 1.1 * per_language / r["count"]) * (1 << 30)))])
+    each = max(1, min(per_language, most_rows // len(counts)))
+    shares = [(r["lang"], int(min(1.0, each / r["count"]) * (1 << 30)) + 1) for r in counts]
+    share = rows.sparkSession.createDataFrame(shares, "lang string, share long")
+    draw = F.pmod(F.xxhash64(F.lit(11), F.col(id_col).cast("string")), F.lit(1 << 30)).alias("draw")
+    sample = rows.select(draw, F.col(text_col).alias(TEXT), F.col(lang_col).alias("lang")).join(F.broadcast(share), "lang").filter("draw < share")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch, key=None, limit=1 << 18):
-                x = np.minimum(np.round(ngram_counts(s.data, s.offs) * 1024), 65535).astype("<u2")
-                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(s.rows.start, len(s)), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
-
-    sample = rows.filter(draw < share[F.col(lang_col)]).select(F.col(text_col).alias(TEXT), F.col(lang_col).alias("lang"))
-    languages = sorted(r["lang"] for r in counts)
-    seen: dict[str, list[np.ndarray]] = {x: [] for x in languages}
-    for r in sample.mapInArrow(features, "lang string, x binary").toLocalIterator():
-        if len(seen[r["lang"]]) < per_language:
-            seen[r["lang"]].append(np.frombuffer(r["x"], "<u2"))
-    languages = [x for x in languages if seen[x]]
-    if not languages:
+                for i, j in _rows(len(s)):
+                    part = batch.slice(s.rows.start + i, j - i)
+                    x = ngram_counts(s.data[s.offs[i] : s.offs[j]], s.offs[i : j + 1] - s.offs[i])
+                    x = np.minimum(np.round(x * 1024), 65535).astype("<u2")
+                    yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("draw"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "draw", "x"])
+
+    got = sample.select("lang", "draw", TEXT).mapInArrow(features, "lang string, draw long, x binary").toLocalIterator()
+    got = sorted((r["lang"], r["draw"], r["x"]) for r in got)
+    if not got:
         return None
-    x = np.concatenate([np.array(seen[v]) for v in languages]).astype(np.float32) / 1024
-    y = np.repeat(np.arange(len(languages)), [len(seen[v]) for v in languages])
+    languages = sorted({g[0] for g in got})
+    place = {v: i for i, v in enumerate(languages)}
+    y = np.array([place[g[0]] for g in got])
     order = np.random.default_rng(5).permutation(len(y))
-    return fit(x[order], y[order], languages)
+    x = np.empty((len(y), BUCKETS), np.float32)
+    for i, k in enumerate(order):
+        x[i] = np.frombuffer(got[k][2], "<u2")
+    x /= 1024
+    return fit(x, y[order], languages)
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: dict[str, Column] | None = None, margin: float = 0.2) -> DataFrame:
     """The columns of ``keep`` and lang_pred, score, ambiguous for every row."""
-    keep = keep if keep is not None else {c: F.col(c) for c in docs.columns}
+    keep = keep if keep is not None else {c: F.col(f"`{c}`") for c in docs.columns if c not in RESULTS}
     names = list(keep)
     rows = docs.select(*[v.alias(k) for k, v in keep.items()], F.col(text_col).cast("string").alias("_lid_text"), F.coalesce(F.col(text_col).rlike(LETTERS), F.lit(False)).alias("_lid_any"))
 
@@ -188,8 +199,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
                 part = batch.slice(s.rows.start, len(s))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(lang, pa.string()), pa.array(top, pa.float64()), pa.array(close)], names=[*names, "lang_pred", "score", "ambiguous"])
 
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", lang_pred string, score double, ambiguous boolean")
+    results = T.StructType.fromDDL("lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in names), *results.fields]))
 
 
 def _rows(n: int, most: int = 256) -> list[tuple[int, int]]:
