@@ -12,44 +12,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, language_id, line_dedup, minhash, packing
-from millrace.llm._spark import KEY, TEXT, stored, whole_rows
+from millrace.llm._spark import KEY, TEXT, restored, stored, whole_rows
 
 LEAST_SCORE = 0.4
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: those without a letter go, and those between two codewords."""
+    """Documents in a known language: those without a letter go, and those between two codewords.
+
+    Rows are judged by their text alone: ids may be null or repeated, columns
+    may have any names; null and empty texts go; without labelled rows all go.
+    """
     model = language_id.train(docs.filter(~language_id.held_out()))
-    out = language_id.identify(docs, model)
+    out = language_id.identify(docs, model, keep={"doc": F.struct(*[F.col(f"`{c}`") for c in docs.columns])})
     keep = (F.col("lang_pred") != language_id.UND) & ~(F.col("ambiguous") & (F.col("score") < LEAST_SCORE))
-    return out.filter(keep).select(*docs.columns)
+    return out.filter(keep).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of three-line windows; the character counts follow."""
-    rows = whole_rows(docs)
-    changed = line_dedup.dedup_lines(rows, KEY, TEXT).filter("n_removed > 0").select(KEY, "kept")
-    out = rows.join(changed, KEY, "left")
-    old = lambda c: F.col("_doc").getField(c)
-    text = F.coalesce("kept", old("text"))  # a null text has no window, so it is never changed
-    n = F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(old("n_chars"))
-    return out.select(*[(text if c == "text" else n if c == "n_chars" else old(c)).alias(c) for c in docs.columns])
+    """Texts without later copies of three-line windows; the character counts follow.
+
+    Each row stays a row, whatever its id: rows with null or repeated ids are
+    judged one by one, in the order of id, nulls first, then text. A null text
+    stays null.
+    """
+    return line_dedup.stripped(docs, count_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group: the one with the smallest id, nulls first, then by text."""
+    """One row of each near-duplicate group: the one with the smallest id, nulls first, then by text.
+
+    Rows that share an id, or have none, are judged one by one; texts that are
+    null or without a word are nobody's copies and all stay.
+    """
     rows = whole_rows(docs)
     gone = minhash.classes(rows, KEY, TEXT).filter("NOT kept").select(KEY)
-    return rows.join(gone, KEY, "left_anti").select("_doc.*")
+    return restored(rows.join(gone, KEY, "left_anti"), docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, ids and other columns do not matter."""
     return decontaminate.flagged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all documents and their places in sequences."""
+    """The token pieces of all documents and their places in sequences; a null or empty text is its end id alone."""
     out = packing.pack(docs, packing.default_vocabulary(), ids=False)
     return out.select(F.col("_id").alias("doc_id"), *packing.CONTRACT)
 
