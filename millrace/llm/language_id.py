@@ -8,7 +8,7 @@ losses; a row is ambiguous where the runner-up is close.
 
 The classifiers are fitted on the driver from a bounded sample of labelled
 rows: about ``per_language`` rows of every language, fewer where that would be
-more than ``most_rows`` in all. Which rows those are follows from their ids
+more than ``most_rows`` in all, but never fewer than ``FEWEST``. Which rows those are follows from their ids
 alone. Texts are scored whole, one pass, no shuffle.
 
 Defined results: a text that is null or holds no letter is ``und`` with score
@@ -34,7 +34,7 @@ from ._spark import TEXT, slices
 
 BUCKETS = 1 << 12
 ORDERS = (1, 2, 3, 4)
-PER_LANGUAGE, MOST_ROWS = 1000, 20_000
+PER_LANGUAGE, MOST_ROWS, FEWEST = 1000, 20_000, 20
 RESULTS = ("lang_pred", "score", "ambiguous")
 UND = "und"
 LETTERS = r"\p{L}"
@@ -147,7 +147,7 @@ def train(
     counts = rows.groupBy(F.col(lang_col).alias("lang")).count().collect()  # a row per language
     if not counts:
         return None
-    each = max(1, min(per_language, most_rows // len(counts)))
+    each = max(FEWEST, min(per_language, most_rows // len(counts)))
     shares = [(r["lang"], int(min(1.0, each / r["count"]) * (1 << 30)) + 1) for r in counts]
     share = rows.sparkSession.createDataFrame(shares, "lang string, share long")
     draw = F.pmod(F.xxhash64(F.lit(11), F.col(id_col).cast("string")), F.lit(1 << 30)).alias("draw")

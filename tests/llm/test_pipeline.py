@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 from brute import lines, near_classes
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import decontaminate
@@ -81,6 +82,26 @@ def test_repeated_rows_keep_their_lines_once(spark, sf):
     assert sorted((r.text, r.n_chars) for r in out.collect()) == [("", 0), ("end", 3), (p, len(p))]
 
 
+def test_stages_with_clashing_columns_and_odd_rows(spark, sf):
+    """Columns of any name come through every stage; null, empty, repeated and very long texts too; an empty table stays empty."""
+    names = ["score", "lang_pred", "ambiguous", "kept", "_kept_id", "_gone_id", "_key", "_text", "_doc", "_id", "doc", "spans", "b", "sequence_id", "cell"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = odd_ids(spark, sf, [(None, None, "en"), (None, "", "en"), (3, "", None), (3, "", None), (4, "the and of that " * 20000, "en")]).select(docs.columns)
+    rows = docs.unionByName(odd)
+    for i, n in enumerate(names):
+        rows = rows.withColumn(n, F.lit(f"x{i}"))
+    total = rows.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, sf)
+        assert out.columns == rows.columns, name
+        got = out.collect()
+        assert 0 < len(got) <= total and all(r[n] == f"x{i}" for r in got for i, n in enumerate(names)), name
+        assert stage(spark, rows.limit(0), sf).collect() == [], name
+    packed = corpus_pipeline.pack(spark, rows, sf).collect()
+    assert sum(r.start == 0 for r in packed) == total
+    assert corpus_pipeline.pack(spark, rows.limit(0), sf).collect() == []
+
+
 def test_run_equals_the_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf).collect()
     assert out and out[0].asDict().keys() == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
