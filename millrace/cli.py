@@ -26,7 +26,7 @@ def _fields(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _show(df: DataFrame) -> None:
-    for r in df.limit(1000).collect():  # reports have a row per group
+    for r in df.toLocalIterator():  # whole, a partition at a time
         print(json.dumps(r.asDict(recursive=True), ensure_ascii=False, default=str))
 
 

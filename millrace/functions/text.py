@@ -147,16 +147,19 @@ def excessive_repetition(t: Column, phrases: bool = True) -> Column:
 
 
 def degeneration_reasons(source: Column, output: Column) -> Column:
-    """Signs of collapsed output: empty, a character five times, a phrase four times, far too long."""
-    s = F.regexp_replace(output, WS, "")
-    return F.array_compact(
-        F.array(
-            F.when(F.length(s) == 0, F.lit("empty")),
-            F.when(s.rlike(r"(.)\1{4,}"), F.lit("character_repetition")),
-            F.when(s.rlike(r"(.{2,12})\1{3,}"), F.lit("phrase_repetition")),
-            F.when(F.length(output) > F.greatest(F.lit(48), 3 * F.length(source) + 10), F.lit("excessive_length")),
+    """Signs of collapsed output: a character five times, a phrase four times, far too long; of an empty one, that alone."""
+
+    def found(t: Column) -> Column:
+        compact = F.regexp_replace(t, WS, "")
+        phrase = r"(?d)(.{2,12})(?:(?:[,.!?~·ㆍ-]|" + WS + r")*\1){3,}"
+        signs = F.array(
+            F.when(compact.rlike(r"(?d)(.)\1{4,}"), F.lit("character_repetition")),
+            F.when(t.rlike(phrase), F.lit("phrase_repetition")),
+            F.when(F.length(t) > F.greatest(F.lit(48), 3 * F.length(strip(source)) + 10), F.lit("excessive_length")),
         )
-    )
+        return F.when(t == "", F.array(F.lit("empty"))).otherwise(F.array_compact(signs))
+
+    return let(strip(output), found)
 
 
 # Sentence endings by which the level of politeness is told, the highest first.
@@ -218,14 +221,18 @@ def spurious_spaces(t: Column) -> Column:
     return F.regexp_count(t, F.lit(_BETWEEN))
 
 
-def skeleton(t: Column, most: int = 120) -> Column:
+# A quoted span, whose two marks need not match each other.
+QUOTED = "[\"“‘'][^\"”’']{1,120}[\"”’']"
+
+
+def skeleton(t: Column) -> Column:
     """The frame of a sentence: quoted spans as <Q>, digits as #."""
-    quoted = "「[^」]{1,%d}」|『[^』]{1,%d}』|“[^”]{1,%d}”|‘[^’]{1,%d}’|\"[^\"]{1,%d}\"|'[^']{1,%d}'" % ((most,) * 6)
-    return F.regexp_replace(F.regexp_replace(t, quoted, "<Q>"), r"\p{Nd}", "#")
+    return F.regexp_replace(F.regexp_replace(t, QUOTED, "<Q>"), r"\p{Nd}", "#")
 
 
-def quoted_spans(t: Column, most: int = 120) -> Column:
-    return F.regexp_extract_all(t, F.lit("[「『“\"]([^」』”\"]{1,%d})[」』”\"]" % most), F.lit(1))
+def quoted_spans(t: Column) -> Column:
+    """The quoted spans of a text, marks included."""
+    return F.regexp_extract_all(t, F.lit(QUOTED), F.lit(0))
 
 
 # What counts as a number, a sign and a unit.
@@ -315,8 +322,8 @@ def containment(held: Column, row: Column) -> Column:
 
 
 def length_score(source: Column, output: Column) -> Column:
-    """exp(-|log((h + 1) / (s + 1))|) of character lengths."""
-    return F.exp(-F.abs(F.log((F.length(output) + 1) / (F.length(source) + 1))))
+    """exp(-|log((h + 1) / (s + 1))|) of the lengths without white space."""
+    return F.exp(-F.abs(F.log((visible_length(output) + 1) / (visible_length(source) + 1))))
 
 
 def unit_fraction(key: Column) -> Column:

@@ -2,22 +2,43 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
 
-def ngram_stats(output: Column, reference: Column, order: int) -> Column:
-    """(matches, output n-grams, reference n-grams) of one character order, blanks left out."""
-    a, b = (X.ngrams(F.regexp_replace(t, X.WS, ""), order) for t in (output, reference))
-    return F.struct(X.bag_overlap(a, b).cast("long").alias("m"), F.size(a).cast("long").alias("h"), F.size(b).cast("long").alias("r"))
+def _stats(orders: int):
+    names = [f"{c}{n}" for n in range(1, orders + 1) for c in "mhr"]
+
+    @F.pandas_udf(T.StructType([T.StructField(x, T.LongType()) for x in names]))
+    def stats(output: pd.Series, reference: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(output, reference, strict=True):
+            x, y = ("".join((t or "").split()) for t in (x, y))
+            row: list[int] = []
+            for n in range(1, orders + 1):
+                h, r = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (x, y))
+                less, more = (h, r) if len(h) < len(r) else (r, h)
+                row += [sum(min(c, more[g]) for g, c in less.items() if g in more), max(len(x) - n + 1, 0), max(len(y) - n + 1, 0)]
+            rows.append(row)
+        return pd.DataFrame(rows, columns=names, dtype="int64")
+
+    return stats
 
 
 def chrf(rows: DataFrame, output: str, reference: str, by: list[str], orders: int = 6, beta: float = 2.0) -> DataFrame:
-    """Corpus chrF of each group: statistics are summed, the score is taken once."""
-    out = rows.withColumns({f"_{n}": ngram_stats(F.col(output), F.col(reference), n) for n in range(1, orders + 1)})
-    sums = [F.sum(f"_{n}.{c}").alias(f"{c}{n}") for n in range(1, orders + 1) for c in "mhr"]
+    """Corpus chrF of each group: statistics of character n-grams without blanks are summed, the score is taken once.
+
+    The n-grams of a pair are counted by one function over Arrow batches: (m,
+    h, r) matches, output and reference n-grams of each order.
+    """
+    out = rows.withColumn("_s", _stats(orders)(F.col(output), F.col(reference)))
+    sums = [F.sum(f"_s.{c}{n}").alias(f"{c}{n}") for n in range(1, orders + 1) for c in "mhr"]
     agg = out.groupBy(*by).agg(F.count("*").alias("n"), *sums)
     valid = [(F.col(f"h{n}") > 0) & (F.col(f"r{n}") > 0) for n in range(1, orders + 1)]
     k = sum((v.cast("int") for v in valid), F.lit(0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 BROADCAST_ROWS = 2_000_000  #: shingles of held-out items up to which the index is broadcast; beyond, it is shuffled
+RARITY_IN = 32  #: one row in so many tells how rare a shingle is
 
 
 def holdout_items(cases: DataFrame, languages: list[str] | None = None) -> DataFrame:
@@ -18,24 +19,45 @@ def holdout_items(cases: DataFrame, languages: list[str] | None = None) -> DataF
     return out.filter(F.col("language").isin(*languages)) if languages else out
 
 
-def leaks(items: DataFrame, rows: DataFrame, item: str = "item_id", row: str = "doc_id", text: str = "text", size: int = 3, least: float = 0.6, normal: bool = True) -> DataFrame:
+def _grams(key: Column, size: int) -> Column:
+    return F.array_distinct(F.when(F.length(key) <= size, F.array(key)).otherwise(X.ngrams(key, size)))
+
+
+def leaks(
+    items: DataFrame, rows: DataFrame, item: str = "item_id", row: str = "doc_id", text: str = "text", size: int = 3, least: float = 0.6, normal: bool = True
+) -> DataFrame:
     """(item, row, shared, item_shingles, containment, exact) of each pair with enough of the item's shingles in the row.
 
-    Both sides are exploded to distinct shingles and joined on them. Only
-    shingles that an item has are kept of the corpus. The index of items is
-    broadcast while it is small, which is counted first.
+    Of an item's n shingles a row may lack ``spare``, so of any m it holds m -
+    spare. Only the item's rarest 2 * spare + 1 are looked up; the pairs that meet
+    often enough are then compared in full. How rare a shingle is comes from a
+    part of the rows, which decides how many pairs meet and nothing else. What
+    is sent to all executors is counted first.
     """
     key = lambda t: X.comparison_key(t, normal)
-    grams = lambda k: F.array_distinct(F.when(F.length(k) <= size, F.array(k)).otherwise(X.ngrams(k, size)))
     held = items.select(F.col(item).alias("_item"), key(F.col(text)).alias("_ikey")).filter("length(_ikey) > 0")
-    held = held.withColumn("_grams", grams(F.col("_ikey")))
-    index = held.select("_item", F.size("_grams").alias("_n"), F.explode("_grams").alias("_g"))
+    held = held.withColumn("_igrams", _grams(F.col("_ikey"), size)).withColumn("_n", F.size("_igrams"))
+    spare = F.col("_n") - F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(least) - F.lit(1e-9)))
+    index = held.select("_item", "_n", spare.alias("_spare"), F.explode("_igrams").alias("_g"))
+    keys = rows.select(F.col(row).alias("_row"), key(F.col(text)).alias("_rkey"))
     small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    probe = rows.select(F.col(row).alias("_row"), key(F.col(text)).alias("_rkey")).select("_row", F.explode(grams(F.col("_rkey"))).alias("_g"))
-    hits = probe.join(F.broadcast(index) if small else index, "_g").groupBy("_item", "_row").agg(F.count("*").alias("shared"), F.max("_n").alias("item_shingles"))
-    hits = hits.withColumn("containment", F.col("shared") / F.col("item_shingles")).filter(F.col("containment") >= least)
-    exact = hits.filter("shared = item_shingles").join(held.select("_item", "_ikey"), "_item").join(rows.select(F.col(row).alias("_row"), key(F.col(text)).alias("_rkey")), "_row").filter("instr(_rkey, _ikey) > 0").select("_item", "_row", F.lit(True).alias("exact"))
-    out = hits.join(exact, ["_item", "_row"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    sent = F.broadcast if small else (lambda t: t)
+    wanted = index.select("_g").distinct()
+    some = keys.filter(F.pmod(F.xxhash64("_row"), F.lit(RARITY_IN)) == 0).select(F.explode(_grams(F.col("_rkey"), size)).alias("_g"))
+    often = some.join(sent(wanted), "_g").groupBy("_g").agg(F.count("*").alias("_often"))
+    ranked = index.join(often, "_g", "left").withColumn("_at", F.row_number().over(W.partitionBy("_item").orderBy(F.coalesce("_often", F.lit(0)), "_g")))
+    rare = ranked.filter(F.col("_at") <= 2 * F.col("_spare") + 1)
+    rare = rare.select("_g", "_item", (F.least("_n", 2 * F.col("_spare") + 1) - F.col("_spare")).alias("_least"))
+    probe = keys.select("_row", F.explode(_grams(F.col("_rkey"), size)).alias("_g"))
+    near = probe.join(sent(rare), "_g").groupBy("_item", "_row").agg(F.count("*").alias("_met"), F.first("_least").alias("_least"))
+    near = near.filter("_met >= _least").select("_item", "_row")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much to compare
+    both = near.repartition(tasks, "_row").join(keys, "_row").join(sent(held), "_item")
+    grams = F.size(F.filter("_igrams", lambda g: F.contains("_rkey", g)))
+    shared = F.when(F.length("_rkey") <= size, F.array_contains("_igrams", F.col("_rkey")).cast("int")).when(F.length("_ikey") >= size, grams).otherwise(F.lit(0))
+    both = both.withColumn("shared", shared.cast("long")).filter(F.col("shared") / F.col("_n") >= least)
+    exact = (F.col("shared") == F.col("_n")) & F.contains("_rkey", F.col("_ikey"))
+    out = both.select("_item", "_row", "shared", F.col("_n").alias("item_shingles"), (F.col("shared") / F.col("_n")).alias("containment"), exact.alias("exact"))
     return out.withColumnsRenamed({"_item": item, "_row": row})
 
 
@@ -61,32 +83,61 @@ IDIOMS = (
 DOG_WORDS = ("개새끼", "개자식", "개놈", "개년", "개소리", "개수작")
 
 
+# Korean expletives, and Japanese marks of which any one keeps the force of a text.
+PROFANITY = (
+    "씨발", "시발", "씨팔", "좆", "존나", "졸라", "개새끼", "새끼야", "새끼들아", "이새끼", "저새끼", "그새끼", "병신", "지랄", "닥쳐", "미친놈", "미친년", "썅",
+    "빌어먹을", "엿먹",
+)
+VULGAR = (
+    "くそ", "クソ", "糞", "ちくしょう", "畜生", "ふざけ", "うざ", "きも", "黙れ", "死ね", "野郎", "馬鹿", "ばか", "バカ", "あほ", "アホ", "てめえ", "てめー", "やがる",
+    "しやがれ", "ぶっ", "クソッ", "ちっ", "最悪", "むかつく",
+)
+REPAIRS = (("種まき", "くそ"), ("種の足", "くそ"))
+MARKS = r"[.,!?~·・…\-_*]+"
+FINDINGS = "array<struct<rule:string,confidence:double,evidence:array<string>>>"
+
+
 def spaced(t: Column, normal: bool = True) -> Column:
     """Runs of one character and marks between characters folded, blanks kept."""
-    folded = F.regexp_replace(X.nfkc(t) if normal else t, r"(.)\1{2,}", "$1")
-    return X.squeeze(F.regexp_replace(folded, r"[.,!?~·・…\-_*]+", ""))
+    folded = F.regexp_replace(X.nfkc(t) if normal else t, r"(?d)(.)\1{2,}", "$1")
+    return X.squeeze(F.regexp_replace(folded, MARKS, ""))
 
 
-def contamination(source: Column, target: Column, direction: tuple[str, str], profanity: tuple[str, ...] = (), vulgar: tuple[str, ...] = (), normal: bool = True) -> Column:
+def contamination(
+    source: Column, target: Column, direction: tuple[str, str], profanity: tuple[str, ...] = PROFANITY, vulgar: tuple[str, ...] = VULGAR, normal: bool = True
+) -> Column:
     """Findings (rule, confidence, evidence) of a pair; null where a direction has no rules, which is not clean."""
-    kind = "array<struct<rule:string,confidence:double,evidence:array<string>>>"
     if direction != ("ko", "ja"):
-        return F.lit(None).cast(kind)
+        return F.lit(None).cast(FINDINGS)
+
+    def finding(when: Column, rule: str, sure: float, seen: Column) -> Column:
+        return F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(sure).alias("confidence"), seen.alias("evidence")))
+
+    def found(near: Column, s: Column, t: Column) -> Column:
+        word = lambda w: F.lit(_fold(w))
+        out = []
+        for a, b in LITERALS:
+            both = F.contains(s, word(a)) & F.contains(t, word(b))
+            out.append(finding(both, "known_literal_mistranslation", 0.95, F.array(F.lit(a), F.lit(b))))
+        for a, b, marks in IDIOMS:
+            sense = _any(s, [_fold(m) for m in marks]) if marks else F.lit(True)
+            out.append(finding(F.contains(s, word(a)) & F.contains(t, word(b)) & sense, "literal_idiom", 0.85, F.array(F.lit(a), F.lit(b))))
+        dogs, curses = _held(near, DOG_WORDS), _held(s, profanity)
+        out.append(finding((F.size(dogs) > 0) & F.contains(t, F.lit("犬")), "dog_prefix_literal", 0.75, F.concat(dogs, F.array(F.lit("犬")))))
+        out.append(finding((F.size(curses) > 0) & ~_any(t, [_fold(w) for w in vulgar]), "profanity_intensity_lost", 0.45, curses))
+        return F.array_compact(F.array(*out)).cast(FINDINGS)
+
     tight = lambda t: F.regexp_replace(t, X.WS, "")
-    word = lambda w: F.lit(_fold(w))
-    near = spaced(source, normal)
-    s, t = tight(near), tight(spaced(target, normal))
-    finding = lambda when, rule, sure, *seen: F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(sure).alias("confidence"), F.array(*map(F.lit, seen)).alias("evidence")))
-    out = [finding(F.contains(s, word(a)) & F.contains(t, word(b)), "known_literal_mistranslation", 0.95, a, b) for a, b in LITERALS]
-    for a, b, marks in IDIOMS:
-        sense = F.lit(not marks)
-        for m in marks:
-            sense = sense | F.contains(s, word(m))
-        out.append(finding(F.contains(s, word(a)) & F.contains(t, word(b)) & sense, "literal_idiom", 0.85, a, b))
-    anyof = lambda x, ws: _any(x, [_fold(w) for w in ws])
-    out.append(finding(anyof(near, DOG_WORDS) & F.contains(t, F.lit("犬")), "dog_prefix_literal", 0.75, "犬"))
-    out.append(finding(anyof(s, profanity) & ~anyof(t, vulgar), "profanity_intensity_lost", 0.45))
-    return F.array_compact(F.array(*out)).cast(kind)
+    folded = F.struct(spaced(source, normal).alias("s"), spaced(target, normal).alias("t"))
+    flat = lambda f: F.struct(f["s"].alias("near"), tight(f["s"]).alias("s"), tight(f["t"]).alias("t"))
+    return X.let(X.let(folded, flat), lambda f: found(f["near"], f["s"], f["t"]))
+
+
+def _held(t: Column, words: tuple[str, ...]) -> Column:
+    """Those of the words, folded, that a folded text holds, in the list's order."""
+    if not words:
+        return F.array().cast("array<string>")
+    return F.array_compact(F.array(*[F.when(F.contains(t, F.lit(_fold(w))), F.lit(_fold(w))) for w in words]))
 
 
 def _any(t: Column, words: list[str]) -> Column:
@@ -111,11 +162,18 @@ def strongest(findings: Column) -> Column:
     return F.get(F.filter(findings, lambda f: f["confidence"] == top), F.lit(0))
 
 
-def repaired(target: Column, replacements: tuple[tuple[str, str], ...]) -> Column:
-    """Certain replacements applied in order; assess the result again before it is kept."""
+def repaired(source: Column, target: Column, replacements: tuple[tuple[str, str], ...] = REPAIRS, direction: tuple[str, str] = ("ko", "ja"), normal: bool = True) -> Column:
+    """The target with certain replacements applied in order; null where that is no sure repair.
+
+    They are tried only where the pair has a literal finding, and the result is
+    assessed again: with any finding left, the pair goes to a person.
+    """
+    fixed = target
     for a, b in replacements:
-        target = F.replace(target, F.lit(a), F.lit(b))
-    return target
+        fixed = F.replace(fixed, F.lit(a), F.lit(b))
+    found = contamination(source, target, direction, normal=normal)
+    literal = F.coalesce(F.exists(found, lambda x: x["rule"] == "known_literal_mistranslation"), F.lit(False))
+    return F.when(literal & (fixed != target) & (F.size(contamination(source, fixed, direction, normal=normal)) == 0), fixed)
 
 
 def screen(text: Column, first: tuple[str, ...], second: tuple[str, ...]) -> Column:

@@ -39,14 +39,13 @@ class Policy:
             raise ValueError("thresholds out of range")
 
 
-def reasons(a: Column, b: Column, languages: tuple[str, str], p: Policy) -> tuple[Column, Column, dict[str, Column]]:
-    """(rejections, warnings, measures) of a pair of texts."""
-    a, b = X.canonical_text(a, p.normal), X.canonical_text(b, p.normal)
+def reasons(a: Column, b: Column, languages: tuple[str, str], p: Policy, keys: tuple[Column, Column] | None = None) -> tuple[Column, Column, dict[str, Column]]:
+    """(rejections, warnings, measures) of a pair of canonical texts; ``keys`` are their surface keys."""
     na, nb = X.visible_length(a), X.visible_length(b)
     ratio = F.greatest(na, nb) / F.greatest(F.lit(1), F.least(na, nb))
     la, lb = X.letter_count(a), X.letter_count(b)
     fa, fb = X.language_fraction(a, languages[0]), X.language_fraction(b, languages[1])
-    ka, kb = X.surface_key(a, p.normal), X.surface_key(b, p.normal)
+    ka, kb = keys or (X.surface_key(a, p.normal), X.surface_key(b, p.normal))
     no = F.lit(False)
     rules = (
         ("too_short", (na < p.least_chars) | (nb < p.least_chars)),
@@ -63,8 +62,7 @@ def reasons(a: Column, b: Column, languages: tuple[str, str], p: Policy) -> tupl
     if p.spans:
         from ..functions.spans import similarity
 
-        s = similarity(a, b)
-        soft.append(("structured_span_mismatch", s["critical"] | (s["score"] < 0.5)))
+        soft.append(("structured_span_mismatch", X.let(similarity(a, b), lambda s: s["critical"] | (s["score"] < 0.5))))
     pick = lambda rs: F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rs]))
     return pick(rules), pick(soft), {"chars_a": na, "chars_b": nb, "length_ratio": ratio, "fraction_a": fa, "fraction_b": fb}
 
@@ -80,8 +78,12 @@ def assess(pairs: DataFrame, a: str, b: str, languages: tuple[str, str] = ("ko",
     ``profile`` names a column; rows that say ``expressive_v1`` are excused
     from being short or repetitive, and get those points back.
     """
-    bad, soft, measures = reasons(F.col(a), F.col(b), languages, policy or Policy())
-    out = pairs.withColumns(measures | {"rejections": bad, "warnings": soft})
+    p = policy or Policy()
+    ca, cb = F.col("_canonical_a"), F.col("_canonical_b")
+    out = pairs.withColumns({"_canonical_a": X.canonical_text(F.col(a), p.normal), "_canonical_b": X.canonical_text(F.col(b), p.normal)})
+    out = out.withColumns({"_key_a": X.surface_key(ca, p.normal), "_key_b": X.surface_key(cb, p.normal)})
+    bad, soft, measures = reasons(ca, cb, languages, p, (F.col("_key_a"), F.col("_key_b")))
+    out = out.withColumns(measures | {"rejections": bad, "warnings": soft}).drop("_canonical_a", "_canonical_b", "_key_a", "_key_b")
     score = F.greatest(F.lit(0), 100 - _points(F.col("rejections")) - _points(F.col("warnings")))
     out = out.withColumn("score", score)
     if profile:
@@ -97,16 +99,48 @@ def gate(assessed: DataFrame, quality: bool = True) -> DataFrame:
     return assessed.filter("accepted" if quality else "NOT array_contains(rejections, 'control_characters')")
 
 
-PLACEHOLDER = r"\{[^{}]*\}|%[0-9]*\$?[sdif]|&[A-Za-z0-9#]+;"
+# What a user-interface string holds besides words, and the scripts its two sides must show.
+PLACEHOLDER = (
+    r"\{\s*[$-]?[A-Za-z_][A-Za-z0-9_.:-]*\s*\}|\{\p{Nd}+\}|%(?:\p{Nd}+\$)?[A-Za-z]|\$\{[A-Za-z_][A-Za-z0-9_.:-]*\}|"
+    r"</?[A-Za-z][^>]*>|&[A-Za-z][A-Za-z0-9]+;"
+)
+EXPECTED = {"ko": r"[\x{AC00}-\x{D7A3}]", "ja": r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]"}
+ACCESS_KEYS = ("accesskey", ".key", "/keybinding")
 
 
-def ui_reason(a: Column, b: Column, most: int = 800, normal: bool = True) -> Column:
-    """The first rule that a pair of user-interface strings breaks; null if none."""
+def placeholder_bag(t: Column) -> Column:
+    """Sorted placeholders of a text; a tag counts by its name alone."""
+    tag = r"^</?([A-Za-z][A-Za-z0-9:-]*).*$"
+    plain = lambda x: F.when(x.startswith("<"), F.concat(F.lit("<"), F.lower(F.regexp_replace(x, f"(?s){tag}", "$1")), F.lit(">"))).otherwise(x)
+    return F.array_sort(F.transform(F.regexp_extract_all(t, F.lit(PLACEHOLDER), F.lit(0)), lambda x: F.replace(plain(x), F.lit(" "), F.lit(""))))
+
+
+def ui_reason(
+    a: Column, b: Column, resource: Column | None = None, expected: tuple[str, str] = (EXPECTED["ko"], EXPECTED["ja"]), most: int = 800, normal: bool = True
+) -> Column:
+    """The first rule that a pair of user-interface strings breaks; null if none.
+
+    ``resource`` is the string's id, by which access keys are told; ``expected``
+    are patterns of which each side must hold one.
+    """
     na, nb = F.length(a), F.length(b)
-    ratio = nb / F.greatest(na, F.lit(1))
-    bag = lambda t: F.array_sort(F.regexp_extract_all(t, F.lit(PLACEHOLDER), F.lit(0)))
-    numbers = lambda t: F.array_sort(X.numeric_tokens(t, normal))
+    ratio = na / F.greatest(nb, F.lit(1))
+    shown = lambda t: F.length(F.regexp_replace(t, r"[^\p{L}\p{N}_]", ""))
+    digits = lambda t: F.array_sort(F.regexp_extract_all(t, F.lit(r"\p{Nd}+"), F.lit(0)))
+    same = lambda t: X.casefold(X.canonical_text(t)) if normal else F.lower(X.canonical_text(t, False))
+    low = F.lower(F.coalesce(resource, F.lit(""))) if resource is not None else F.lit("")
+    access = F.lit(False)
+    for term in ACCESS_KEYS:
+        access = access | F.contains(low, F.lit(term))
+    empty = F.coalesce(a, F.lit("")) == ""
     return (
-        F.when((F.trim(a) == "") | (F.trim(b) == ""), "empty").when((na > most) | (nb > most), "too_long").when((X.letter_count(a) == 0) | (X.letter_count(b) == 0), "missing_script").when((na < 2) | (nb < 2), "too_short")
-        .when((ratio < 0.2) | (ratio > 5), "length_ratio").when(bag(a) != bag(b), "placeholder_mismatch").when(numbers(a) != numbers(b), "number_mismatch").when(a.rlike(r"&[A-Za-z](?![A-Za-z0-9#]*;)"), "access_key").when(a == b, "identical")
-    )
+        F.when(empty | (F.coalesce(b, F.lit("")) == ""), "empty")
+        .when((na > most) | (nb > most), "too_long")
+        .when(~a.rlike(expected[0]) | ~b.rlike(expected[1]), "missing_expected_script")
+        .when(F.least(shown(a), shown(b)) < 2, "too_short")
+        .when((ratio < 0.2) | (ratio > 5.0), "length_ratio")
+        .when(placeholder_bag(a) != placeholder_bag(b), "placeholder_mismatch")
+        .when(digits(a) != digits(b), "number_mismatch")
+        .when(access & (F.greatest(na, nb) <= 3), "access_key")
+        .when(same(a) == same(b), "identical")
+    )

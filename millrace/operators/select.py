@@ -85,10 +85,17 @@ def unique_matching(edges: DataFrame, source: str, target: str, score: str, tie:
 
 
 def sample_to_budget(rows: DataFrame, t: Column, budget: int, seed: str) -> DataFrame:
-    """Exactly ``budget`` rows (all, if fewer) with the smallest ranks: a threshold first, the cut on what it leaves."""
+    """Exactly ``budget`` rows (all, if fewer) with the smallest ranks: a threshold first, the cut on what it leaves.
+
+    Rows of one text share their rank, so a threshold may leave too few; it is
+    raised until enough are left.
+    """
+    ranked = rows.withColumn("_u", fraction(seed, t))
     n = rows.count()
-    share = min(1.0, 1.2 * budget / max(n, 1) + 1e-3)
-    near = rows.withColumn("_u", fraction(seed, t)).filter(F.col("_u") < share)
+    share = 1.2 * budget / max(n, 1) + 1e-3
+    while share < 1 and ranked.filter(F.col("_u") < share).limit(min(budget, n)).count() < min(budget, n):
+        share *= 2
+    near = ranked.filter(F.col("_u") < share) if share < 1 else ranked
     return near.orderBy("_u", t).limit(budget).drop("_u")
 
 

@@ -1,8 +1,8 @@
 """The operators applied to the driver's tables, each with its DuckDB SQL where SQL can express it.
 
 Pairs are consecutive turns of a conversation. Texts of these tables are in
-normal form already, so the normalising functions are switched off where an
-oracle exists.
+NFKC already, which SQL has no function for, so the normalising functions run
+and change nothing; tests have texts that they change.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ SELECT lang, CASE WHEN u < 0.005 THEN 'test' WHEN u < 0.01 THEN 'validation' ELS
 def dataset_split(spark, d):
     """Canonical text, one owner per text, a split by its hash: rows by language and split."""
     docs = table(spark, d, "documents")
-    k = X.canonical_text(F.col("text"), normal=False)
+    k = X.canonical_text(F.col("text"))
     one = dedup.first_owner(docs.select("doc_id", "lang", k.alias("k")), F.col("k"), ["doc_id"])
     return one.groupBy("lang", X.split_of(F.col("k")).alias("split")).agg(F.count("*").alias("n"))
 
@@ -83,13 +83,13 @@ def dataset_split(spark, d):
 @query(rf"SELECT min(doc_id) AS doc_id, {SQUEEZED.replace('text', 'any_value(text)')} IS NOT NULL AS kept FROM documents GROUP BY {SQUEEZED}")
 def exact_dedup(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return dedup.first_owner(docs, X.dedup_key(F.col("text"), False), ["doc_id"]).select("doc_id", F.lit(True).alias("kept"))
+    return dedup.first_owner(docs, X.dedup_key(F.col("text")), ["doc_id"]).select("doc_id", F.lit(True).alias("kept"))
 
 
 @query(rf"""
 SELECT doc_id, ('0x' || substr(sha256({SQUEEZED}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 AS u FROM documents""")
 def split_fraction(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.unit_fraction(X.split_key(F.col("text"), False)).alias("u"))
+    return table(spark, d, "documents").select("doc_id", X.unit_fraction(X.split_key(F.col("text"))).alias("u"))
 
 
 @query(rf"""
@@ -125,15 +125,15 @@ def new_against_corpus(spark, d):
 # text functions ------------------------------------------------------------------------
 
 
-@query(rf"SELECT doc_id, md5({SQUEEZED}) AS digest, len({SQUEEZED}) AS n FROM documents")
+@query(rf"SELECT doc_id, md5({SQUEEZED.replace('text', 'nfc_normalize(text)')}) AS digest, len({SQUEEZED.replace('text', 'nfc_normalize(text)')}) AS n FROM documents")
 def canonical_text(spark, d):
-    k = X.canonical_text(F.col("text"), normal=False)
+    k = X.canonical_text(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.md5(k).alias("digest"), F.length(k).cast("long").alias("n"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(text, '[\p{P}\p{S}\p{Z}\p{C}]', '', 'g')) AS digest FROM documents")
 def comparison_keys(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(X.comparison_key(F.col("text"), False)).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.comparison_key(F.col("text"))).alias("digest"))
 
 
 @query(r"""
@@ -164,7 +164,7 @@ def scripts_present(spark, d):
 
 
 @query(rf"""
-WITH {TURNS} SELECT conv_id, turn, round(exp(-abs(ln((len(target) + 1) / (len(source) + 1)))), 8) AS score FROM turns""")
+WITH {TURNS} SELECT conv_id, turn, round(exp(-abs(ln((len(regexp_replace(target, '\s', '', 'g')) + 1) / (len(regexp_replace(source, '\s', '', 'g')) + 1)))), 8) AS score FROM turns""")
 def length_scores(spark, d):
     return turns(spark, d).select("conv_id", "turn", F.round(X.length_score(F.col("source"), F.col("target")), 8).alias("score"))
 
@@ -232,9 +232,24 @@ def pair_quality_full(spark, d):
     return out.select(F.explode(F.concat("rejections", F.transform("warnings", lambda w: F.concat(F.lit("warn:"), w)))).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query()
+_UI = r"""\{\s*[$-]?[A-Za-z_][A-Za-z0-9_.:-]*\s*\}|\{\d+\}|%(?:\d+\$)?[A-Za-z]|\$\{[A-Za-z_][A-Za-z0-9_.:-]*\}|</?[A-Za-z][^>]*>|&[A-Za-z][A-Za-z0-9]+;"""
+_TAG = "'<' || lower(regexp_extract(x, '^</?([A-Za-z][A-Za-z0-9:-]*)', 1)) || '>'"
+_SLOTS = {c: f"list_sort(list_transform(regexp_extract_all({c}, '{_UI}'), lambda x: replace(CASE WHEN x[1] = '<' THEN {_TAG} ELSE x END, ' ', '')))" for c in "ab"}
+
+
+@query(rf"""
+WITH {TURNS}, m AS (SELECT conv_id, turn, role AS resource, source AS a, target AS b FROM turns JOIN (SELECT conv_id, turn, role FROM conversations) USING (conv_id, turn)),
+r AS (SELECT *, len(a) / greatest(len(b), 1) AS ratio FROM m)
+SELECT CASE WHEN a = '' OR b = '' THEN 'empty' WHEN len(a) > 800 OR len(b) > 800 THEN 'too_long' WHEN NOT regexp_matches(a, '[A-Za-z]') OR NOT regexp_matches(b, '[A-Za-z]') THEN 'missing_expected_script'
+  WHEN least(len(regexp_replace(a, '[^\p{{L}}\p{{N}}_]', '', 'g')), len(regexp_replace(b, '[^\p{{L}}\p{{N}}_]', '', 'g'))) < 2 THEN 'too_short' WHEN ratio < 0.2 OR ratio > 5 THEN 'length_ratio'
+  WHEN {_SLOTS['a']} <> {_SLOTS['b']} THEN 'placeholder_mismatch' WHEN list_sort(regexp_extract_all(a, '\p{{Nd}}+')) <> list_sort(regexp_extract_all(b, '\p{{Nd}}+')) THEN 'number_mismatch'
+  WHEN contains(lower(resource), '.key') AND greatest(len(a), len(b)) <= 3 THEN 'access_key' WHEN lower(trim(regexp_replace(a, '\s+', ' ', 'g'))) = lower(trim(regexp_replace(b, '\s+', ' ', 'g'))) THEN 'identical' ELSE 'ok' END AS reason, count(*) AS n
+FROM r GROUP BY 1""")
 def ui_reasons(spark, d):
-    return turns(spark, d).groupBy(F.coalesce(quality.ui_reason(F.col("source"), F.col("target"), normal=False), F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
+    """The first rule of user-interface strings that consecutive turns break; both sides must hold Latin letters here."""
+    t = turns(spark, d).join(table(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    reason = quality.ui_reason(F.col("source"), F.col("target"), F.col("role"), ("[A-Za-z]", "[A-Za-z]"))
+    return t.groupBy(F.coalesce(reason, F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 # leakage ------------------------------------------------------------------------------------------
@@ -437,7 +452,7 @@ def mutual_best_terms(spark, d):
 
 
 @query(r"""
-WITH c AS (SELECT conv_id, turn, len(text) AS n, first_value(len(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS f FROM conversations),
+WITH c AS (SELECT conv_id, turn, len(regexp_replace(text, '\s', '', 'g')) AS n, first_value(len(regexp_replace(text, '\s', '', 'g'))) OVER (PARTITION BY conv_id ORDER BY turn) AS f FROM conversations),
 s AS (SELECT conv_id, turn, exp(-abs(ln((n + 1) / (f + 1)))) AS score FROM c WHERE turn > 0)
 SELECT conv_id, turn, round(score, 8) AS score FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 10) DESC, turn) = 1""")
 def rerank_turns(spark, d):

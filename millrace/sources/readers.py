@@ -32,14 +32,16 @@ def lines(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def status(value: Column) -> Column:
-    """blank, invalid_utf8, invalid_json or ok of a JSON line."""
+    """blank, invalid_utf8, invalid_json or ok of a JSON line as it was read, bytes unchanged."""
     parsed = F.try_parse_json(value)
-    return F.when(X.strip(value) == "", "blank").when(F.contains(value, F.lit("�")), "invalid_utf8").when(parsed.isNull(), "invalid_json").otherwise("ok")
+    return F.when(~F.is_valid_utf8(value), "invalid_utf8").when(X.strip(value) == "", "blank").when(parsed.isNull(), "invalid_json").otherwise("ok")
 
 
 def json_lines(spark: SparkSession, *paths: str, strict: bool = False) -> DataFrame:
     """(file, value, status); a byte-order mark is dropped. ``strict`` fails on the first bad line."""
-    out = lines(spark, *paths).withColumn("value", F.regexp_replace("value", "^\\x{FEFF}", "")).withColumn("status", status(F.col("value")))
+    mark = F.lit("\ufeff")
+    raw = lines(spark, *paths).withColumn("value", F.when(F.startswith("value", mark), F.substring("value", 2, 2**31 - 1)).otherwise(F.col("value")))
+    out = raw.withColumn("status", status(F.col("value"))).withColumn("value", F.make_valid_utf8("value"))
     if strict:
         return out.withColumn("status", F.when(F.col("status").isin("ok", "blank"), F.col("status")).otherwise(F.raise_error(F.concat(F.lit("bad line in "), F.col("file"), F.lit(": "), F.substring("value", 1, 80)))))
     return out

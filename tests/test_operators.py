@@ -49,6 +49,9 @@ def test_repetition_and_degeneration(spark):
     assert one(spark, "aaaaaaaaaaaab", r=X.excessive_repetition(A, phrases=False))["r"]
     assert one(spark, "hi", "", r=X.degeneration_reasons(A, B))["r"] == ["empty"]
     assert "excessive_length" in one(spark, "hi", "ab cd ef gh " * 10, r=X.degeneration_reasons(A, B))["r"]
+    for source, output, reason in (("マジ", "안 돼, 안 돼, 안 돼, 안 돼, 안 돼", "phrase_repetition"), ("x", "haha, haha, haha, haha", "phrase_repetition"), ("ああ", "아" + "~" * 48, "character_repetition"), ("短い", "가" * 60, "excessive_length")):
+        assert reason in one(spark, source, output, r=X.degeneration_reasons(A, B))["r"]
+    assert one(spark, "x", " " * 60, r=X.degeneration_reasons(A, B))["r"] == ["empty"] and one(spark, "안녕", "こんにちは", r=X.degeneration_reasons(A, B))["r"] == []
 
 
 def test_numbers_signs_units(spark):
@@ -80,18 +83,47 @@ def test_shingles_and_splits(spark):
         X.split_of(A, 0.4, 0.2)
 
 
-def test_spans_mask_and_similarity(spark):
-    text = 'Hi {name, select, a {"}"} other {x}}, mail a.b@c.org or see https://x.y/z?q=1. <b>5 kg</b> %s %1$d &amp; AB-12'
-    kinds = [s["kind"] for s in S.find(text)]
-    assert kinds == ["placeholder", "email", "url", "html", "number", "html", "printf", "printf", "entity", "identifier"]
-    masked = S.mask_text(text)
-    assert S.restore_text(masked["text"], masked["slots"]) == (text, [])
+def test_spans_of_localised_strings(spark):
+    text = '{ DATETIME($date, month: "long", year: "numeric") } { -brand(case: "accusative") } %CasterName %2$Spx &#39; &#x27;'
+    found = {(s.kind, s.surface) for s in S.candidates(text)}
+    assert {("placeable", '{ DATETIME($date, month: "long", year: "numeric") }'), ("placeable", '{ -brand(case: "accusative") }'), ("entity", "&#39;"), ("entity", "&#x27;")} <= found
+    assert {("percent_placeholder", "%CasterName"), ("printf", "%2$S")} <= found and ("percent_placeholder", "%C") not in found
+    assert [(s.kind, s.surface) for s in S.disjoint(S.candidates('API foo.bar $5 - 10 v2 <a title="x>y">'))] == [
+        ("identifier", "API"), ("identifier", "foo.bar"), ("number", "$5 - 10"), ("identifier", "v2"), ("html", '<a title="x>y">'),
+    ]
+    assert [s.kind for s in S.candidates("{ open ${A} \\${B} <slot_1> < b")] == ["template", "identifier"]
+    assert S.compared("{ $VERSION } ${BUILD_ID} &Aacute;", "{ $version } ${build_id} &aacute;") == (0.0, True)
+    score, critical = S.compared('<a title="{ $name }">{ $name }</a>', '<a title="{ $other }">{ $name }</a>')
+    assert score < 1 and critical
+    assert S.compared("none", "here") == (1.0, False) and S.keys_of("5 kg AB-12", numbers=False) == ["identifier\0AB-12"]
+
+
+def test_masks_and_shared_slots(spark):
+    source = "용량은 50MB, 약은 250mg이며 https://example.com/issues/102181에서 확인한다."
+    text, slots = S.mask_text(source)
+    assert set(slots.values()) == {"50MB", "250mg", "https://example.com/issues/102181"} and "에서 확인한다" in text
+    assert S.restore_text(text, slots) == (source, [])
     assert S.restore_text("lost", {"<slot_0>": "x"}) == ("lost", ["<slot_0>"])
-    assert S.find(None) == [] and S.find("{ open") == []
-    r = one(spark, "a {x} 5", "b {x} 6", "c {y} 5", same=S.similarity(A, B), other=S.similarity(A, C))
-    assert r["same"].asDict() == {"score": pytest.approx(1 / 3), "critical": False}
-    assert r["other"]["critical"]
+    text, slots = S.mask_text("배송비는 12,500원이고 수량은 3개이며 용량은 250mg이다.")
+    assert "원" in text and "개" in text and set(slots.values()) == {"12,500", "3", "250mg"}
+    a, b = S.share_slots("코드 A-0, 값 0과 10을 확인한다.", "コードA-0、値0と10を確認する。")
+    assert a.count("<slot_") == b.count("<slot_") == 3 and "<slot_<slot_" not in a + b
+    many = " ".join(f"{i}.5" for i in range(80))
+    masked = S.mask(A)
+    r = one(spark, many, m=masked, back=S.restored(masked["text"], masked["slots"]))
+    assert len(r["m"]["slots"]) == 64 and r["back"] == many
+    r = one(spark, "a {x} 5", "b {x} 6", "c {y} 5", same=S.similarity(A, B), other=S.similarity(A, C), spans=S.spans(A))
+    assert r["same"].asDict() == {"score": pytest.approx(1 / 3), "critical": False} and r["other"]["critical"]
+    assert [(s.start, s.end, s.kind, s.key) for s in r["spans"]] == [(2, 5, "placeholder", "placeholder\0{x}"), (6, 7, "number", "number\0005")]
     assert one(spark, "a {x}", "{x} b", r=S.shared_slots(A, B))["r"].asDict() == {"a": "a <slot_0>", "b": "<slot_0> b"}
+    none = one(spark, None, "x", m=S.mask(A), s=S.shared_slots(A, B), k=S.tokens(A))
+    assert none["m"]["text"] is None and none["s"].asDict() == {"a": None, "b": "x"} and none["k"] == []
+
+
+def test_length_scores_and_frames(spark):
+    assert one(spark, "a b c d", "abcd", r=X.length_score(A, B))["r"] == 1.0
+    assert one(spark, '값은 "0.5 mg"이고 3개다.', r=X.skeleton(A))["r"] == "값은 <Q>이고 #개다."
+    assert one(spark, "「괄호」 “섞인'", r=X.skeleton(A), q=X.quoted_spans(A)) == {"r": "「괄호」 <Q>", "q": ["“섞인'"]}
 
 
 def test_pair_quality_rules(spark):
@@ -116,9 +148,13 @@ def test_pair_quality_rules(spark):
 
 
 def test_ui_reasons(spark):
-    cases = {("", "x"): "empty", ("a" * 801, "b"): "too_long", ("12", "13"): "missing_script", ("ab", "cdefghijklmnop"): "length_ratio", ("ab {x}", "cd {y}"): "placeholder_mismatch", ("ab 1", "cd 2"): "number_mismatch", ("&File", "abcde"): "access_key", ("same", "same"): "identical", ("good", "fine"): None}
-    df = spark.createDataFrame(list(cases), "a string, b string")
-    assert {(r.a, r.b): r.x for r in df.withColumn("x", quality.ui_reason(A, B)).collect()} == cases
+    cases = {
+        ("", "x", "r"): "empty", ("가" * 801, "あ", "r"): "too_long", ("abc def", "ABC def", "r"): "missing_expected_script", ("가!", "あいう", "r"): "too_short", ("가나", "あいうえおかきくけこさ", "r"): "length_ratio",
+        ("가나 {x}", "あい {y}", "r"): "placeholder_mismatch", ("가나 <B id='x'>", "<b> あい", "r"): None, ("가나 1", "あい 2", "r"): "number_mismatch", ("파일a", "あい", "menu.key"): "access_key", ("파일a", "あい", "menu"): None,
+        ("가あ 나", "가あ  나", "r"): "identical", ("가나다", "あいう", "r"): None, ("가나다 { $a }", "あいう {$a}", None): None,
+    }
+    df = spark.createDataFrame(list(cases), "a string, b string, c string")
+    assert {(r.a, r.b, r.c): r.x for r in df.withColumn("x", quality.ui_reason(A, B, C)).collect()} == cases
 
 
 def test_guard_keeps_endpoints_on_one_side(spark):
@@ -184,17 +220,28 @@ def test_leaks(spark):
     rows = spark.createDataFrame([(10, "또 김칫국부터 마시지 마…"), (11, "관계없는 줄")], "doc_id int, text string")
     out = leakage.leaks(items, rows).collect()
     assert [(r.item_id, r.doc_id, r.containment, r.exact) for r in out] == [("1", 10, 1.0, True)]
+    rnd = random.Random(9)
+    texts = [(i, "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 30)))) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id int, text string")
+    held = df.filter("doc_id < 20").withColumnRenamed("doc_id", "item_id")
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)} if len(t) > 3 else {t}
+    for least in (0.3, 0.6, 1.0):
+        want = {(i, j, len(grams(s) & grams(t)), s in t and grams(s) <= grams(t)) for i, s in texts[:20] for j, t in texts if len(grams(s) & grams(t)) >= least * len(grams(s))}
+        assert {(r.item_id, r.doc_id, r.shared, r.exact) for r in leakage.leaks(held, df, least=least).collect()} == want
     cases = spark.createDataFrame([("c", "x", "ko", "ja", "a b", "c d")], "id string, category string, source_language string, target_language string, source string, reference string")
     assert [(r.item_id, r.language) for r in leakage.holdout_items(cases).collect()] == [("c#source", "ko"), ("c#reference", "ja")]
 
 
 def test_contamination(spark):
-    f = lambda d=("ko", "ja"): leakage.contamination(A, B, d, ("닥쳐",), ("黙れ",))
+    f = lambda d=("ko", "ja"): leakage.contamination(A, B, d)
     rules = lambda a, b: [x.rule for x in one(spark, a, b, f=f())["f"]]
-    assert rules("씨 발 진짜", "種まきだ") == ["known_literal_mistranslation"]
+    assert rules("씨 발 진짜", "種まきだ") == ["known_literal_mistranslation", "profanity_intensity_lost"]
+    assert one(spark, "씨발 덥다", "種まき暑い", r=leakage.repaired(A, B))["r"] == "くそ暑い"
+    assert one(spark, "좆 덥다", "種 暑い", r=leakage.repaired(A, B))["r"] is None and one(spark, "덥다", "種まき", r=leakage.repaired(A, B))["r"] is None
+    assert [x.evidence for x in one(spark, "개새끼 닥쳐", "犬だ", f=f())["f"]] == [["개새끼", "犬"], ["개새끼", "닥쳐"]]
     assert rules("붕어빵 먹자", "たい焼きを食べよう") == []
     assert rules("아빠랑 붕어빵이네", "たい焼きだね") == ["literal_idiom"]
-    assert rules("개 소리가 들려", "犬の声がする") == [] and rules("개소리 마", "犬の声") == ["dog_prefix_literal"]
+    assert rules("개 소리가 들려", "犬の声がする") == [] and rules("개소리 마", "犬の声") == ["dog_prefix_literal"] and rules("새끼 개", "子犬") == []
     assert rules("닥쳐", "静かに") == ["profanity_intensity_lost"] and rules("닥쳐", "黙れ") == []
     assert one(spark, "a", "b", f=f(("en", "de")))["f"] is None
     assert one(spark, "x", s=leakage.screen(A, (), ("a",)))["s"] == "unscreened"
