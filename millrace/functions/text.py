@@ -356,3 +356,62 @@ def hint_prefix(terms: Column, text: Column) -> Column:
 
 def revision_input(source: Column, draft: Column) -> Column:
     return F.concat(source, F.lit(" <draft> "), draft)
+
+
+def hint_parts(t: Column) -> Column:
+    """(terms, text) of a text with glossary hints before it: what ``hint_prefix`` put together."""
+    hinted = t.startswith("<glossary> ") & F.contains(t, F.lit("<seg> "))
+    head, body = F.substring_index(t, "<seg> ", 1), F.regexp_replace(t, r"(?s)^.*?<seg> ", "")
+    pairs = F.filter(F.split(head, r"<glossary> "), lambda x: x != "")
+    term = lambda x: F.struct(F.trim(F.substring_index(x, " <protect> ", 1)).alias("source"), F.trim(F.substring_index(x, " <protect> ", -1)).alias("target"))
+    none = F.array().cast("array<struct<source:string,target:string>>")
+    return F.struct(F.when(hinted, F.transform(pairs, term)).otherwise(none).alias("terms"), F.when(hinted, body).otherwise(t).alias("text"))
+
+
+def revision_parts(t: Column) -> Column:
+    """(source, draft) of a revision input; no draft, null."""
+    has = F.contains(t, F.lit(" <draft> "))
+    draft = F.when(has, F.regexp_replace(t, r"(?s)^.*? <draft> ", ""))
+    return F.struct(F.when(has, F.substring_index(t, " <draft> ", 1)).otherwise(t).alias("source"), draft.alias("draft"))
+
+
+def preview(t: Column, most: int = 80) -> Column:
+    """The start of a text for a report, line breaks and tabs shown as blanks."""
+    flat = F.regexp_replace(t, r"[\r\n\t]", " ")
+    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
+
+
+# Tails of Korean nouns, endings of verbs and adjectives, and words that are no terms; runs that may be Japanese terms.
+PARTICLES = (
+    "으로써", "에서는", "에게서", "이라고", "으로부터", "라고", "으로", "에서", "에게", "한테", "까지", "부터", "이나", "처럼", "보다", "만큼",
+    "은", "는", "이", "가", "을", "를", "의", "에", "와", "과", "도", "로", "만",
+)
+CONJUGATED = (
+    "한다", "된다", "진다", "인다", "간다", "온다", "났다", "했다", "었다", "았다", "린다", "른다", "친다", "웠다", "이다", "하면", "되면", "지면", "으면", "하고", "하며", "하여",
+    "해서", "해도", "니다", "세요", "겠다", "는다", "준다", "본다", "주리", "리라", "느냐", "는가", "구나", "군요", "네요", "어요", "아요", "지만", "면서", "니까", "거야", "잖아",
+    "는데", "내면", "가면", "오면", "보면", "주면", "받으면", "이라면",
+)
+NO_TERMS = (
+    "그리고", "하지만", "그래서", "그러나", "때문에", "이것", "저것", "그것", "여기", "거기", "저기", "우리", "당신", "자신", "지금", "오늘", "내일", "어제", "정말", "진짜", "조금",
+    "많이", "다시", "아직", "이제", "함께", "먼저", "이런", "저런", "그런", "무슨", "어떤",
+)
+KO_TERM, JA_TERM = r"[가-힣]{2,}", r"[ァ-ヺー]{2,}|[一-鿿]{2,4}"
+
+
+def korean_terms(t: Column) -> Column:
+    """Distinct words that may be Korean terms: one particle off, no stop word, no conjugated form."""
+
+    def bare(w: Column) -> Column:
+        out = w
+        for p in reversed(PARTICLES):
+            out = F.when((F.length(w) > len(p) + 1) & w.endswith(p), F.substring(w, F.lit(1), F.length(w) - len(p))).otherwise(out)
+        return out
+
+    found = F.transform(F.regexp_extract_all(t, F.lit(KO_TERM), F.lit(0)), bare)
+    ending = f"({'|'.join(CONJUGATED)})$"
+    return F.array_distinct(F.filter(found, lambda w: (F.length(w) >= 2) & ~w.isin(*NO_TERMS) & ~w.rlike(ending)))
+
+
+def japanese_terms(t: Column) -> Column:
+    """Distinct runs of katakana, and of two to four kanji."""
+    return F.array_distinct(F.regexp_extract_all(t, F.lit(JA_TERM), F.lit(0)))

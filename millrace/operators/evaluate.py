@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pandas as pd
@@ -49,6 +50,56 @@ def chrf(rows: DataFrame, output: str, reference: str, by: list[str], orders: in
     return agg.select(*by, "n", F.round(score, 6).alias("chrf"))
 
 
+_TOKENS_13A = (
+    # The tokenisation rules of the usual BLEU, in order.
+    (r"<skipped>", ""), (r"-\n", ""), (r"\n", " "), (r"&quot;", '"'), (r"&amp;", "&"), (r"&lt;", "<"), (r"&gt;", ">"),
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 "),
+)
+
+
+def bleu_tokens(text: str, characters: bool) -> list[str]:
+    """Words by the usual rules, or single characters for languages that write no blanks."""
+    if characters:
+        return [c for c in text if not c.isspace()]
+    text = text.rstrip()
+    for i, (pattern, new) in enumerate(_TOKENS_13A):
+        text = re.sub(pattern, new, f" {text} " if i == 7 else text)
+    return text.split()
+
+
+def bleu(rows: DataFrame, output: str, reference: str, by: list[str], characters: bool = False) -> DataFrame:
+    """Corpus BLEU of each group: n-grams up to 4, brevity penalty, exponential smoothing of orders without a match."""
+    names = [f"{c}{n}" for n in range(1, 5) for c in "mt"] + ["h", "r"]
+
+    @F.pandas_udf(T.StructType([T.StructField(x, T.LongType()) for x in names]))
+    def stats(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(hyp, ref, strict=True):
+            x, y = (bleu_tokens(t or "", characters) for t in (x, y))
+            row = []
+            for n in range(1, 5):
+                h, r = (Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for t in (x, y))
+                row += [sum(min(c, r[g]) for g, c in h.items() if g in r), max(len(x) - n + 1, 0)]
+            out.append([*row, len(x), len(y)])
+        return pd.DataFrame(out, columns=names, dtype="int64")
+
+    agg = rows.withColumn("_s", stats(F.col(output), F.col(reference))).groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(f"_s.{x}").alias(x) for x in names])
+    log, smooth = F.lit(0.0), F.lit(1.0)
+    for k in range(1, 5):
+        m, t = F.col(f"m{k}"), F.col(f"t{k}")
+        smooth = F.when((m == 0) & (t > 0), smooth * 2).otherwise(smooth)
+        log = log + F.log(F.when(m > 0, m / t).when(t > 0, 1 / (smooth * t)).otherwise(F.lit(0.0)))
+    brevity = F.when(F.col("h") < F.col("r"), F.exp(1 - F.col("r") / F.col("h"))).otherwise(F.lit(1.0))
+    some = (F.col("m1") + F.col("m2") + F.col("m3") + F.col("m4") > 0) & (F.col("t4") > 0)
+    return agg.select(*by, "n", F.when(some, F.round(100 * brevity * F.exp(log / 4), 6)).otherwise(F.lit(0.0)).alias("bleu"))
+
+
+def deltas(scores: DataFrame, system: str, baseline: str, by: list[str], metric: str) -> DataFrame:
+    """Each system's score, the baseline's for the same group and the difference; null where the baseline has none."""
+    base = scores.filter(F.col(system) == baseline).select(*by, F.col(metric).alias("baseline"))
+    return scores.filter(F.col(system) != baseline).join(base, by, "left").withColumn("delta", F.round(F.col(metric) - F.col("baseline"), 6))
+
+
 def number_preservation(rows: DataFrame, reference: str, output: str, by: list[str], normal: bool = True) -> DataFrame:
     """Mean number F1 times 100 over rows whose reference has numbers; 100 without any."""
     a, b = X.numeric_tokens(F.col(reference), normal), X.numeric_tokens(F.col(output), normal)

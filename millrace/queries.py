@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import spans as S
 from .functions import text as X
-from .operators import audit, dedup, evaluate, leakage, quality, select
+from .operators import audit, dedup, evaluate, leakage, quality, select, shards, tokens
 from .sources import readers
 from .streaming import queue
 
@@ -561,6 +561,165 @@ def queue_outcomes(spark, d):
     return queue.outcome(queue.parsed(c.select(line.alias("value"))), gate).groupBy("result_status").agg(F.count("*").alias("n"))
 
 
+# shards: gates and verified joins ---------------------------------------------------------------------------------
+
+
+_QUOTE = "[\"“‘''][^\"”’'']{1,120}[\"”’'']"
+
+
+@query(rf"""
+WITH {TURNS}, c AS (SELECT trim(regexp_replace(source, '\s+', ' ', 'g')) AS s, trim(regexp_replace(target, '\s+', ' ', 'g')) AS t FROM turns),
+g AS (SELECT *, regexp_replace(regexp_replace(s, '{_QUOTE}', '<Q>', 'g'), '\p{{Nd}}', '#', 'g') AS k, ('0x' || substr(sha256(s), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 < 0.2 AS held,
+      regexp_matches(s, '[\x{{400}}-\x{{52F}}\x{{370}}-\x{{3FF}}\x{{600}}-\x{{6FF}}\x{{3040}}-\x{{30FF}}\x{{4E00}}-\x{{9FFF}}\x{{AC00}}-\x{{D7A3}}]') AS fs, regexp_matches(t, '[\x{{400}}-\x{{52F}}\x{{370}}-\x{{3FF}}\x{{600}}-\x{{6FF}}\x{{3040}}-\x{{30FF}}\x{{4E00}}-\x{{9FFF}}\x{{AC00}}-\x{{D7A3}}]') AS ft FROM c WHERE s <> '' AND t <> ''),
+w AS (SELECT count(*) AS usable, count(DISTINCT s) AS sources, count(DISTINCT k) AS skeletons, count_if(held) AS held_out, count_if(held AND k IN (SELECT k FROM g WHERE NOT held)) AS leaked, count_if(fs) AS fs, count_if(ft) AS ft FROM g),
+q AS (SELECT count(*) AS quoted, count(DISTINCT q) AS quoted_unique FROM (SELECT unnest(regexp_extract_all(s, '{_QUOTE}')) AS q FROM g)), d AS (SELECT count_if(n > 1) AS conflicting, max(n) AS max_targets FROM (SELECT count(DISTINCT t) AS n FROM g GROUP BY s)),
+r AS (SELECT (SELECT count(*) FROM c) AS rows, (SELECT count(*) FROM c) - usable AS unreadable, sources, skeletons, quoted, quoted_unique, max_targets, held_out, round(skeletons / usable, 8) AS skeleton_ttr, CASE WHEN quoted > 0 THEN round(quoted_unique / quoted, 8) ELSE 1.0 END AS quoted_ttr,
+      round((usable - sources) / usable, 8) AS duplicate_source, round(conflicting / sources, 8) AS conflicting_source, round(fs / usable, 8) AS foreign_source, round(ft / usable, 8) AS foreign_target, CASE WHEN held_out > 0 THEN round(leaked / held_out, 8) ELSE 0.0 END AS skeleton_leak FROM w, q, d)
+SELECT *, concat_ws(',', CASE WHEN skeleton_ttr < 0.5 THEN 'skeleton_ttr' END, CASE WHEN quoted_ttr < 0.05 THEN 'quoted_ttr' END, CASE WHEN duplicate_source > 0.1 THEN 'duplicate_source' END, CASE WHEN conflicting_source > 0.02 THEN 'conflicting_source' END,
+  CASE WHEN foreign_target > 0.02 THEN 'foreign_target' END, CASE WHEN skeleton_leak > 0.1 THEN 'skeleton_leak' END) AS violations FROM r""")
+def generated_audit(spark, d):
+    """Consecutive turns judged as a generated shard: frames, quotes, repeats, scripts, frames on both sides of a split."""
+    out = shards.generated_audit(turns(spark, d), "source", "target", ["latin"], ["latin"], validation=0.1, test=0.1)
+    return out.withColumn("violations", F.array_join("violations", ","))
+
+
+@query(rf"""
+WITH {TURNS}, c AS (SELECT conv_id, turn, trim(regexp_replace(source, '\s+', ' ', 'g')) AS s, trim(regexp_replace(target, '\s+', ' ', 'g')) AS t,
+  CASE WHEN (conv_id + turn) % 17 <> 0 THEN round(exp(-abs(ln((len(regexp_replace(target, '\s', '', 'g')) + 1) / (len(regexp_replace(source, '\s', '', 'g')) + 1)))), 8) END AS score FROM turns),
+n AS (SELECT s, count(*) AS n FROM c WHERE score IS NOT NULL GROUP BY s), e AS (SELECT c.*, CASE WHEN score IS NULL THEN 'missing_score' WHEN n > 3 THEN 'fan_out' WHEN score < 0.3 THEN 'below_threshold' END AS early FROM c LEFT JOIN n USING (s)),
+r AS (SELECT *, CASE WHEN early IS NULL THEN row_number() OVER (PARTITION BY early IS NULL, s ORDER BY score DESC, sha256('recover' || chr(0) || s || chr(0) || t)) END AS k FROM e)
+SELECT coalesce(early, CASE WHEN k > 1 THEN 'duplicate_source' END, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1""")
+def recovery_select(spark, d):
+    """The best-scored target of each source; every other row with its reason."""
+    t = turns(spark, d).withColumn("score", F.when((F.col("conv_id") + F.col("turn")) % 17 != 0, F.round(X.length_score(F.col("source"), F.col("target")), 8)))
+    out = shards.recovery_select(t, "source", "target", "score", 0.3, most_targets=3, unique_target=False)
+    return out.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH a AS (SELECT conv_id, turn // 2 AS k, text FROM conversations WHERE role <> 'assistant'), b AS (SELECT conv_id, turn // 2 AS k, text FROM conversations WHERE role = 'assistant'),
+g AS (SELECT conv_id FROM (SELECT conv_id, list_sort(list(DISTINCT k)) AS ks FROM a GROUP BY conv_id) x JOIN (SELECT conv_id, list_sort(list(DISTINCT k)) AS ks FROM b GROUP BY conv_id) y USING (conv_id, ks))
+SELECT conv_id, k, md5(a.text) AS a, md5(b.text) AS b FROM a JOIN b USING (conv_id, k) WHERE conv_id IN (SELECT conv_id FROM g) AND conv_id % 10 <> 0""")
+def aligned_turns(spark, d):
+    """Turns joined by number, only in conversations that number both sides alike; some conversations are left out."""
+    c = table(spark, d, "conversations").withColumn("k", F.floor(F.col("turn") / 2))
+    out = shards.aligned(c.filter("role <> 'assistant'"), c.filter("role = 'assistant'"), "conv_id", "k", excluded=F.col("conv_id") % 10 == 0)
+    return out.select("conv_id", "k", F.md5("a").alias("a"), F.md5("b").alias("b"))
+
+
+@query("""
+WITH j AS (SELECT l_orderkey AS k, list({'i': l_linenumber % 3, 'g': l_quantity::INT % 6, 's': l_suppkey % 3, 'x': l_partkey % 3, 't': CASE WHEN l_returnflag = 'N' THEN 'target' ELSE 'other' END}) AS j FROM lineitem GROUP BY 1)
+SELECT count_if(ok) AS passed, count(*) AS n FROM (SELECT len(j) >= 2 AND len(list_filter(j, lambda x: x.i IN (1, 2))) >= 2 AND list_median(list_transform(j, lambda x: x.g)) >= 3 AND list_median(list_transform(j, lambda x: x.s)) >= 1
+  AND len(list_filter(j, lambda x: x.t = 'target')) >= 2 AND (k % 2 = 0 OR len(list_filter(j, lambda x: x.x IN (1, 2))) >= 2) AS ok FROM j)""")
+def judgment_gate(spark, d):
+    """Records that most judgments let pass, medians included."""
+    li = table(spark, d, "lineitem")
+    one = F.struct(
+        (F.col("l_linenumber") % 3).alias("intent_score"), (F.col("l_quantity").cast("int") % 6).alias("grammar_score"), (F.col("l_suppkey") % 3).alias("spelling_score"), (F.col("l_partkey") % 3).alias("slots_score"),
+        F.when(F.col("l_returnflag") == "N", "target").otherwise("other").alias("language_identification"),
+    )
+    j = li.groupBy("l_orderkey").agg(F.collect_list(one).alias("j"))  # a few lines an order
+    return j.select(shards.judged(F.col("j"), F.col("l_orderkey") % 2 == 1).alias("ok")).agg(F.count_if("ok").alias("passed"), F.count("*").alias("n"))
+
+
+@query("SELECT lang, 'not_configured' AS state FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) WHERE lang NOT IN ('en', 'de', 'ko') UNION ALL SELECT x, 'without_data' FROM (VALUES ('en'), ('de'), ('ko')) t(x) WHERE x NOT IN (SELECT lang FROM documents WHERE lang IS NOT NULL)")
+def language_presence(spark, d):
+    """Configured languages without data, and languages of the data that are not configured."""
+    have = table(spark, d, "documents").filter("lang IS NOT NULL").select("lang")
+    return shards.presence(spark.createDataFrame([("en",), ("de",), ("ko",)], "lang string"), have, "lang")
+
+
+@query("SELECT doc_id, lang, CASE WHEN l.quality = 0 THEN 'low' ELSE source END AS source, l.doc_id IS NOT NULL AND l.quality = 0 AS was_corrected FROM documents LEFT JOIN (SELECT * FROM labels WHERE quality = 0) l USING (doc_id)")
+def corrected_rows(spark, d):
+    """Rows with the corrections of their id."""
+    new = table(spark, d, "labels").filter("quality = 0").select("doc_id", F.lit("low").alias("source"))
+    return shards.corrected(table(spark, d, "documents").select("doc_id", "lang", "source"), new, "doc_id", ["source"])
+
+
+@query("SELECT count(*) AS left_over FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def removed_ids(spark, d):
+    """How many rows are still there that were to be removed."""
+    gone = table(spark, d, "labels").filter("toxic = 1")
+    return shards.still_there(table(spark, d, "documents"), gone, "doc_id").agg(F.count("*").alias("left_over"))
+
+
+@query("SELECT lang, source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) <= 4")
+def first_per_direction(spark, d):
+    return shards.first_per_direction(table(spark, d, "documents").select("lang", "source", "doc_id"), ["lang", "source"], ["doc_id"], 4)
+
+
+# pieces ----------------------------------------------------------------------------------------------------------
+
+
+def _pieces(c):
+    """Words as pieces; a word of one ASCII letter stands as its byte."""
+    return F.transform(words(c), lambda w: F.when(w.rlike("^[a-z]$"), F.concat(F.lit("<0x"), F.hex(w), F.lit(">"))).otherwise(w))
+
+
+_PIECES = "list_transform(" + WORDS + ", lambda w: CASE WHEN regexp_matches(w, '^[a-z]$') THEN '<0x' || hex(w) || '>' ELSE w END)"
+_SEEN = f"""{TURNS}, p AS (SELECT turn % 2 = 0 AS e, {_PIECES.format('source')} AS a, {_PIECES.format('target')} AS b FROM turns), d AS (SELECT CASE WHEN e THEN 'user-reply' ELSE 'reply-user' END AS direction, unnest(b) AS token FROM p
+  UNION ALL SELECT CASE WHEN e THEN 'reply-user' ELSE 'user-reply' END, unnest(a) FROM p)"""
+
+
+def _directions(spark, d):
+    even = F.col("turn") % 2 == 0
+    t = turns(spark, d).select(F.when(even, "user").otherwise("reply").alias("a"), F.when(even, "reply").otherwise("user").alias("b"), _pieces(F.col("source")).alias("x"), _pieces(F.col("target")).alias("y"))
+    return tokens.by_direction(t, "a", "b", "x", "y")
+
+
+@query(f"WITH {_SEEN} SELECT direction, token, count(*) AS n FROM d GROUP BY ALL")
+def direction_exposure(spark, d):
+    """How often each piece is a target, by direction."""
+    return _directions(spark, d)
+
+
+@query(f"WITH {_SEEN} SELECT direction, count(*) AS tokens, count_if(token LIKE '<0x__>') AS byte_tokens, round(count_if(token LIKE '<0x__>') / count(*), 8) AS byte_rate, round(count_if(token LIKE '<0x__>') / count(*), 8) <= 0.02 AS passed FROM d GROUP BY direction")
+def byte_fallback(spark, d):
+    return tokens.byte_fallback(_directions(spark, d), ["direction"], most=0.02)
+
+
+@query(f"""
+WITH {_SEEN}, a AS (SELECT token, count(*) AS n FROM d GROUP BY token), m AS (SELECT token, count(*) AS n FROM (SELECT unnest({_PIECES.format('text')}) AS token FROM documents WHERE lang = 'en') GROUP BY token),
+f AS (SELECT coalesce(a.n, 0) AS p, coalesce(a.n, 0) + coalesce(m.n, 0) AS t FROM a FULL JOIN m USING (token))
+SELECT count(*) AS pieces, count_if(p < 25 AND t >= 25) AS rescued, count_if(t < 25) AS rare, sum(t)::BIGINT AS total FROM f""")
+def stage_exposure(spark, d):
+    """Pieces over parallel and monolingual text: rescued by the second, still rare with both."""
+    par = _directions(spark, d).groupBy("token").agg(F.sum("n").alias("n"))
+    mono = table(spark, d, "documents").filter("lang = 'en'").select(F.explode(_pieces(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return tokens.both_stages(par, mono).agg(F.count("*").alias("pieces"), F.count_if("rescued").alias("rescued"), F.count_if("rare").alias("rare"), F.sum("total").alias("total"))
+
+
+@query(f"WITH {TURNS} SELECT conv_id, turn FROM turns WHERE len({WORDS.format('source')}) <= 60 AND len({WORDS.format('target')}) <= 60")
+def token_length_gate(spark, d):
+    t = turns(spark, d).select("conv_id", "turn", words(F.col("source")).alias("a"), words(F.col("target")).alias("b"))
+    return tokens.within_length(t, ["a", "b"], 60).select("conv_id", "turn")
+
+
+@query(rf"""
+WITH p AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\s+')) AS piece FROM documents),
+c AS (SELECT piece, regexp_matches(piece, '\p{{Latin}}')::INT AS l, regexp_matches(piece, '\p{{Nd}}')::INT AS d, regexp_matches(piece, '[^\p{{Latin}}\p{{Nd}}]')::INT AS o FROM p WHERE NOT regexp_matches(piece, '[\x{{AC00}}-\x{{D7A3}}\x{{1100}}-\x{{11FF}}\x{{4E00}}-\x{{9FFF}}\x{{3400}}-\x{{4DBF}}\x{{3040}}-\x{{30FF}}\x{{31F0}}-\x{{31FF}}]'))
+SELECT CASE WHEN piece = '' OR (piece[1] = '<' AND piece[-1] = '>') THEN 'special' WHEN l + d + o > 1 THEN 'mixed' WHEN l = 1 THEN 'latin' WHEN d = 1 THEN 'digit' ELSE 'other' END AS class, count(*) AS n FROM c GROUP BY 1""")
+def piece_classes(spark, d):
+    p = table(spark, d, "documents").select(F.explode(F.split("text", r"\s+")).alias("piece")).distinct()
+    return p.groupBy(tokens.piece_class(F.col("piece")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query()
+def bleu_scores(spark, d):
+    """Corpus BLEU of consecutive turns by turn, and by characters."""
+    t = turns(spark, d).withColumn("late", F.col("turn") >= 4)
+    a = evaluate.bleu(t, "target", "source", ["late"])
+    return a.join(evaluate.bleu(t, "target", "source", ["late"], characters=True).select("late", F.col("bleu").alias("by_character")), "late")
+
+
+@query()
+def queue_forward_gate(spark, d):
+    """Reasons for which a queue would reject the reply to a turn as its translation, counted."""
+    t = turns(spark, d).withColumnRenamed("target", "translation")
+    out = queue.forward_reasons(t, ("en", "en"))
+    return out.groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
+
+
 # extensions: the plain DataFrame surface ----------------------------------------------------------------------------
 
 
