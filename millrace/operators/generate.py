@@ -13,69 +13,80 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .select import seeded
 
-CORRUPTIONS = ("number", "drop_clause", "truncate", "repeat", "swap", "identity")
+# How often each kind of damage is done.
+CORRUPTIONS = {"number": 0.26, "drop_clause": 0.16, "truncate": 0.12, "repeat": 0.10, "copy_source": 0.06, "swap": 0.10, "identity": 0.20}
 
 
-def corrupt(kind: str, text: str, rnd: random.Random) -> str | None:
-    """One kind of damage; None where the text gives no hold."""
-    if kind == "identity":
-        return text
-    if kind == "number":
-        found = list(re.finditer(r"\d+", text))
-        if not found:
-            return None
+def corrupt(kind: str, source: str, text: str, rnd: random.Random) -> str:
+    """One kind of damage to a translation; the text itself where it gives no hold."""
+    clauses = [c for c in re.split(r"(?<=[,;、，。.!?！？])\s*", text) if c]
+    if kind == "copy_source":
+        return source
+    if kind == "number" and (found := list(re.finditer(r"\d+", text))):
         m = rnd.choice(found)
-        new = str(int(m[0]) + rnd.randint(1, 9))
-        return text[: m.start()] + new + text[m.end() :]
-    if kind == "drop_clause":
-        parts = re.split(r"(?<=[,;、，])\s*", text)
-        if len(parts) < 2:
-            return None
-        del parts[rnd.randrange(len(parts))]
-        return " ".join(parts).strip()
-    words = text.split()
-    if len(words) < 4:
-        return None
-    i = rnd.randrange(len(words) - 1)
-    if kind == "truncate":
-        return " ".join(words[: max(2, int(len(words) * rnd.uniform(0.4, 0.8)))])
-    if kind == "repeat":
-        return " ".join([*words[: i + 1], *words[i : i + 2], *words[i + 1 :]])
-    if kind == "swap":
-        words[i], words[i + 1] = words[i + 1], words[i]
-        return " ".join(words)
-    raise ValueError(kind)
-
-
-def revisions(rows: DataFrame, key: str, text: str, seed: str = "revision") -> DataFrame:
-    """(.., kind, draft): each text with one corruption that applies to it."""
-
-    @F.pandas_udf(T.StructType([T.StructField("kind", T.StringType()), T.StructField("draft", T.StringType())]))
-    def run(k: pd.Series, t: pd.Series) -> pd.DataFrame:
+        return f"{text[: m.start()]}{int(m[0]) + rnd.randint(1, 9)}{text[m.end() :]}"
+    if kind == "drop_clause" and len(clauses) > 1:
+        del clauses[rnd.randrange(len(clauses))]
+    elif kind == "swap" and len(clauses) > 1:
+        i = rnd.randrange(len(clauses) - 1)
+        clauses[i], clauses[i + 1] = clauses[i + 1], clauses[i]
+    elif kind == "truncate" and len(text) >= 8:
+        return text[: rnd.randint(len(text) // 4, 3 * len(text) // 4)].strip()
+    elif kind == "repeat" and len(text) >= 6:
+        n = rnd.randint(2, 6)
+        i = rnd.randrange(max(1, len(text) - n))
+        return text[: i + n] + text[i : i + n] * rnd.randint(4, 6) + text[i + n :]
+    elif kind not in CORRUPTIONS:
+        raise ValueError(kind)
+    else:
+        return text
+    return " ".join(c.strip() for c in clauses)
+
+
+def revisions(rows: DataFrame, key: str, source: str, target: str, weights: dict[str, float] | None = None, seed: str = "revision") -> DataFrame:
+    """(.., kind, draft, changed): each translation with one corruption, drawn by weight; a draft of nothing is the text itself."""
+    weights = weights or CORRUPTIONS
+    if set(weights) - set(CORRUPTIONS) or sum(weights.values()) <= 0:
+        raise ValueError(f"weights of {sorted(CORRUPTIONS)} are wanted, with a positive sum")
+    kinds, shares = list(weights), list(weights.values())
+
+    @F.pandas_udf("kind string, draft string, changed boolean")
+    def run(k: pd.Series, s: pd.Series, t: pd.Series) -> pd.DataFrame:
         out = []
-        for a, b in zip(k, t, strict=True):
+        for a, x, y in zip(k, s, t, strict=True):
             rnd = random.Random(f"{seed}\0{a}")
-            order = rnd.sample(CORRUPTIONS, len(CORRUPTIONS))
-            out.append(next(((c, d) for c in order if b is not None and (d := corrupt(c, b, rnd)) is not None), ("identity", b)))
-        return pd.DataFrame(out, columns=["kind", "draft"])
+            kind, y = rnd.choices(kinds, shares)[0], y or ""
+            draft = corrupt(kind, x or "", y, rnd)
+            kind, draft = (kind, draft) if draft.strip() else ("identity", y)
+            out.append((kind, draft, draft.strip() != y.strip()))
+        return pd.DataFrame(out, columns=["kind", "draft", "changed"])
 
-    return rows.withColumn("_r", run(F.col(key).cast("string"), F.col(text))).select(*rows.columns, "_r.kind", "_r.draft")
+    return rows.withColumn("_r", run(F.col(key).cast("string"), F.col(source), F.col(target))).select(*rows.columns, "_r.*")
 
 
-def concatenate(rows: DataFrame, source: str, target: str, size: int = 2, most: int = 400, seed: str = "concat") -> DataFrame:
-    """Unrelated pairs joined ``size`` at a time, at most ``most`` characters a side; groups by hash, no global order."""
-    n = rows.count()
-    ranked = rows.withColumn("_rank", seeded(seed, F.col(source), F.col(target))).withColumn("_g", F.pmod(F.xxhash64("_rank"), F.lit(max(1, n // size))))
+def concatenate(rows: DataFrame, source: str, target: str, least: int = 2, most: int = 4, most_chars: int = 480, separator: str = " ", seed: str = "concat") -> DataFrame:
+    """Unrelated pairs joined ``least`` to ``most`` at a time, at most ``most_chars`` characters a side.
+
+    Rows are dealt to groups of about the middle size by a seeded hash, larger
+    groups are cut at ``most``; what is left under ``least`` joins nothing. No
+    global order is needed and no pair is used twice.
+    """
+    if least < 2 or most < least:
+        raise ValueError("at least two rows are joined, and no fewer at most")
     from pyspark.sql import Window as W
 
-    slot = ranked.withColumn("_n", F.row_number().over(W.partitionBy("_g").orderBy("_rank")) - 1).withColumn("_p", F.floor(F.col("_n") / size))
-    agg = slot.groupBy("_g", "_p").agg(F.array_sort(F.collect_list(F.struct("_n", F.col(source).alias("s"), F.col(target).alias("t")))).alias("x"))
-    out = agg.filter(F.size("x") == size).select(F.array_join(F.transform("x", lambda v: v["s"]), " ").alias(source), F.array_join(F.transform("x", lambda v: v["t"]), " ").alias(target))
-    return out.filter((F.length(source) <= most) & (F.length(target) <= most))
+    n = rows.count()
+    ranked = rows.withColumn("_rank", seeded(seed, F.col(source), F.col(target)))
+    ranked = ranked.withColumn("_g", F.pmod(F.xxhash64("_rank"), F.lit(max(1, 2 * n // (least + most)))))
+    slot = ranked.withColumn("_p", F.floor((F.row_number().over(W.partitionBy("_g").orderBy("_rank")) - 1) / most))
+    parts = F.array_sort(F.collect_list(F.struct("_rank", F.col(source).alias("s"), F.col(target).alias("t"))))  # ``most`` rows
+    agg = slot.groupBy("_g", "_p").agg(parts.alias("x")).filter(F.size("x") >= least)
+    side = lambda c, name: F.array_join(F.transform("x", lambda v: v[c]), separator).alias(name)
+    out = agg.select(side("s", source), side("t", target), F.size("x").alias("sentences"))
+    return out.filter((F.length(source) <= most_chars) & (F.length(target) <= most_chars))
 
 
 def frames(spark: SparkSession, templates: list[tuple[str, str]], slots: dict[str, list[tuple[str, str]]], most_frame: int, seed: str = "frames") -> DataFrame:
@@ -102,8 +113,7 @@ def frames(spark: SparkSession, templates: list[tuple[str, str]], slots: dict[st
 NUMBER_KINDS = ("cardinal", "percentage", "currency", "date", "time", "measurement", "range", "identifier", "technical")
 
 
-def numbers(spark: SparkSession, quotas: dict[str, int], templates: dict[str, tuple[str, str]], seed: int = 0) -> DataFrame:
-    """Pairs whose two sides hold the same values, ``quotas`` of each kind at most, without repeats."""
+def _numbers(spark: SparkSession, quotas: dict[str, int], templates: dict[str, tuple[str, str]], seed: int) -> DataFrame:
     total = sum(quotas.values())
     edges = list(itertools.accumulate(quotas.values()))
     kinds = list(quotas)
@@ -125,6 +135,33 @@ def numbers(spark: SparkSession, quotas: dict[str, int], templates: dict[str, tu
     return out.dropDuplicates(["source", "target"])
 
 
+def numbers(spark: SparkSession, quotas: dict[str, int], templates: dict[str, tuple[str, str]], seed: int = 0) -> DataFrame:
+    """Pairs whose two sides hold the same values, exactly ``quotas`` of each kind and none twice.
+
+    More are drawn until every quota is met; a kind that 30 times its quota does
+    not fill is an error. A pair whose sides hold other numbers is one as well.
+    """
+    from .dedup import capped
+
+    for factor in (2, 8, 30):
+        drawn = _numbers(spark, {k: n * factor for k, n in quotas.items()}, templates, seed)
+        out = capped(drawn, ["kind"], [seeded(str(seed), F.col("source"), F.col("target"))], max(quotas.values(), default=0))
+        quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]) if quotas else None
+        out = out.filter(F.col("rank") <= quota[F.col("kind")]).drop("rank") if quotas else out.drop("rank")
+        have = {r["kind"]: r["n"] for r in out.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # a row per kind
+        if all(have.get(k, 0) == n for k, n in quotas.items()):
+            return same_numbers(out, "source", "target", "value")
+    raise ValueError(f"quotas cannot be met: {have} of {quotas}")
+
+
+def same_numbers(rows: DataFrame, source: str, target: str, value: str) -> DataFrame:
+    """The rows, or an error where the sides' numbers differ or a side lacks its value."""
+    bag = lambda c: F.array_sort(F.regexp_extract_all(F.col(c), F.lit(r"\p{Nd}+"), F.lit(0)))
+    kept = F.contains(F.col(source), F.col(value)) & F.contains(F.col(target), F.col(value))
+    wrong = F.raise_error(F.concat(F.lit("numbers differ: "), F.col(source), F.lit(" / "), F.col(target)))
+    return rows.withColumn(source, F.when((bag(source) == bag(target)) & kept, F.col(source)).otherwise(wrong))
+
+
 def challenge(seeds: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
     """Training rows, and two challenge cases of each held-out seed, one per direction."""
     train = seeds.filter("split = 'train'").drop("split")

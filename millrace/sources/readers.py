@@ -159,6 +159,65 @@ def shard_keys(rows: DataFrame, most: int = 2000) -> DataFrame:
     return first.select("file", F.explode(F.json_object_keys("value")).alias("key")).groupBy("file", "key").count()
 
 
+def expands(rows: DataFrame, languages: list[tuple[str, str]], most: int = 2000) -> DataFrame:
+    """(file, lines, expanding, usable): how many of the first lines of each file hold a configured pair."""
+    from pyspark.sql import Window as W
+
+    first = rows.withColumn("_n", F.row_number().over(W.partitionBy("file").orderBy(F.monotonically_increasing_id()))).filter(F.col("_n") <= most)
+    one = first.select("file", (F.size(pairs_of(F.col("value"), normalize_pairs(languages))["pairs"]) > 0).alias("ok"))
+    return one.groupBy("file").agg(F.count("*").alias("lines"), F.count_if("ok").alias("expanding")).withColumn("usable", F.col("expanding") > 0)
+
+
+LANGUAGE_FOLDER = r"^[A-Za-z][A-Za-z0-9]{0,15}$"
+
+
+def discover(spark: SparkSession, root: str, languages: list[str]) -> DataFrame:
+    """(language, path, length, reason) of every file below a root; ``reason`` is null for files that are read.
+
+    Only names and sizes are listed, no content. Folders that are no language,
+    or none that is configured, other suffixes and empty files have a reason.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    rel = F.regexp_extract("path", re.escape(root.rstrip("/").split("/")[-1]) + r"/(.+)$", 1)
+    folder = F.when(F.contains(rel, F.lit("/")), F.substring_index(rel, "/", 1))
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    reason = (
+        F.when(folder.isNull(), "top_level_file").when(~folder.rlike(LANGUAGE_FOLDER), "not_a_language").when(~folder.isin(*languages), "not_configured")
+        .when(~suffix.isin(".txt", ".jsonl"), "suffix").when(F.col("length") == 0, "empty")
+    )
+    return files.select(folder.alias("language"), "path", "length", reason.alias("reason"))
+
+
+def without_data(found: DataFrame, languages: list[str]) -> list[str]:
+    """Configured languages for which ``discover`` has no readable file."""
+    have = {r["language"] for r in found.filter("reason IS NULL").select("language").distinct().collect()}  # a row per language
+    return [x for x in dict.fromkeys(languages) if x not in have]
+
+
+def foundation_languages(languages: list[str], source_only: list[str]) -> list[str]:
+    """Languages that are ever an output, in order: those that are only sources are left out."""
+    return [x for x in dict.fromkeys(languages) if x not in set(source_only)]
+
+
+# Marks of transcripts, of forum posts and of notes in verses.
+TRANSCRIPT = r"&[a-zA-Z-]+\d*&|\([^)]{0,40}\)/\([^)]{0,40}\)|[{}<>@#*~]"
+FORUM = r">>\d+|^>+|https?://\S+"
+VERSE_NOTE = r"(?<=[\x{3040}-\x{309F}])\d+(?=\s+[「『])"
+
+
+def cleaned(t: Column, kind: str) -> Column:
+    """A text without the marks of its kind of source: ``transcript``, ``forum`` or ``verse``."""
+    if kind == "verse":
+        return X.canonical_nfkc(F.regexp_replace(t, VERSE_NOTE, ""))
+    return X.squeeze(F.regexp_replace(X.nfc(t) if kind == "transcript" else t, {"transcript": TRANSCRIPT, "forum": FORUM}[kind], " "))
+
+
+def dialogue_lines(rows: DataFrame, content: str, least: int = 8, most: int = 4000) -> DataFrame:
+    """(text): the distinct cleaned turns of an array column of dialogues whose length is within bounds."""
+    out = rows.select(F.explode(content).alias("_t")).select(cleaned(F.col("_t"), "forum").alias("text"))
+    return out.filter(F.length("text").between(least, most)).distinct()
+
+
 def monolingual(spark: SparkSession, root: str) -> DataFrame:
     """(language, file, text, status) below <root>/<language>/**: lines of .txt, ``text`` of .jsonl."""
     rows = spark.read.option("recursiveFileLookup", "true").text(root).select(F.col("_metadata.file_path").alias("file"), "value")

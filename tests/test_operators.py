@@ -367,19 +367,73 @@ def test_glossary(spark):
 
 
 def test_generators(spark):
-    rows = spark.createDataFrame([(i, f"value {i}, then more words, here {i}") for i in range(60)], "id int, t string")
-    a, b = (sorted(map(str, generate.revisions(rows, "id", "t").collect())) for _ in range(2))
-    assert a == b and len({r.kind for r in generate.revisions(rows, "id", "t").collect()}) >= 4
-    pairs = spark.createDataFrame([(f"s{i}", f"t{i}") for i in range(50)], "s string, t string")
+    rows = spark.createDataFrame([(i, f"source {i}", f"value {i}, then more words, here {i}") for i in range(200)], "id int, s string, t string")
+    a, b = (sorted(map(str, generate.revisions(rows, "id", "s", "t").collect())) for _ in range(2))
+    out = generate.revisions(rows, "id", "s", "t").collect()
+    assert a == b and {r.kind for r in out} == set(generate.CORRUPTIONS)
+    assert all(r.changed == (r.draft.strip() != r.t) for r in out) and all(r.draft == r.s for r in out if r.kind == "copy_source")
+    only = generate.revisions(rows, "id", "s", "t", {"number": 1.0}).collect()
+    assert all(r.kind == "number" and r.changed for r in only)
+    with pytest.raises(ValueError):
+        generate.revisions(rows, "id", "s", "t", {"nothing": 1.0})
+    pairs = spark.createDataFrame([(f"s{i}", f"t{i}") for i in range(300)], "s string, t string")
     got = generate.concatenate(pairs, "s", "t").collect()
-    assert got and all([x[1:] for x in r.s.split()] == [x[1:] for x in r.t.split()] for r in got)
+    assert {r.sentences for r in got} == {2, 3, 4} and all([x[1:] for x in r.s.split()] == [x[1:] for x in r.t.split()] for r in got)
+    assert len({x for r in got for x in r.s.split()}) == sum(r.sentences for r in got) > 200
     made = generate.frames(spark, [("a {x} {y}", "b {x} {y}")], {"x": [("1", "eins"), ("2", "zwei")], "y": [("p", "q"), ("r", "s")]}, 3)
     assert made.count() == 3
     with pytest.raises(ValueError):
         generate.frames(spark, [("a {x}", "b")], {"x": [("1", "2")]}, 3)
-    n = generate.numbers(spark, {k: 20 for k in generate.NUMBER_KINDS}, {k: ("a {v}", "b {v}") for k in generate.NUMBER_KINDS})
-    for r in n.collect():
+    n = generate.numbers(spark, {k: 20 for k in generate.NUMBER_KINDS}, {k: ("a {v}", "b {v}") for k in generate.NUMBER_KINDS}).collect()
+    assert Counter(r.kind for r in n) == {k: 20 for k in generate.NUMBER_KINDS} and len({r.source for r in n}) == len(n)
+    for r in n:
         assert r.value and r.source[2:] == r.target[2:] == r.value
+    with pytest.raises(ValueError, match="quotas"):
+        generate.numbers(spark, {"technical": 500}, {"technical": ("a {v}", "b {v}")})
+    with pytest.raises(Exception, match="numbers differ"):
+        generate.numbers(spark, {"cardinal": 5}, {"cardinal": ("a {v}", "b 3")}).collect()
+
+
+def test_manifests_rewrites_and_discovery(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id", "concat('t', id) AS t").repartition(3)
+    path = str(tmp_path / "json")
+    found = sinks.publish_json(rows, path)
+    assert sum(f["rows"] for f in found.values()) == 50 and sinks.verified(spark, path).collect() == []
+    with pytest.raises(FileExistsError):
+        sinks.publish_json(rows, path)
+    victim, other = sorted(tmp_path.joinpath("json").glob("part-*"))[:2]
+    before = sinks.fingerprints(spark, path + "/part-*").collect()
+    victim.write_text(victim.read_text() + '{"id": 99}\n')
+    other.unlink()
+    for p in tmp_path.joinpath("json").glob(".*.crc"):  # the file system's own check
+        p.unlink()
+    assert {r.problem for r in sinks.verified(spark, path).collect()} == {"digest", "missing"}
+    after = sinks.fingerprints(spark, path + "/part-*")
+    assert sorted(r.change for r in sinks.changed(spark.createDataFrame(before), after).collect()) == ["changed", "removed"]
+    kept = str(tmp_path / "set")
+    rows.write.parquet(kept)
+    for n in (20, 30):
+        sinks.rewrite(spark, kept, lambda df, n=n: df.filter(F.col("id") < n))
+        assert spark.read.parquet(kept).count() == n
+    (tmp_path / "mono/ko").mkdir(parents=True)
+    (tmp_path / "mono/not-a-code").mkdir()
+    (tmp_path / "mono/fr").mkdir()
+    for name, text in (("ko/a.txt", "x"), ("ko/b.md", "x"), ("ko/c.jsonl", ""), ("fr/a.txt", "x"), ("not-a-code/a.txt", "x"), ("top.txt", "x")):
+        (tmp_path / "mono" / name).write_text(text)
+    found = readers.discover(spark, str(tmp_path / "mono"), ["ko", "ja"])
+    assert {r.path.rsplit("mono/", 1)[1]: r.reason for r in found.collect()} == {"ko/a.txt": None, "ko/b.md": "suffix", "ko/c.jsonl": "empty", "fr/a.txt": "not_configured", "not-a-code/a.txt": "not_a_language", "top.txt": "top_level_file"}
+    assert readers.without_data(found, ["ko", "ja"]) == ["ja"] and readers.foundation_languages(["ko", "kj", "ko", "ja"], ["kj"]) == ["ko", "ja"]
+    (tmp_path / "k.jsonl").write_text('{"ko": "가", "ja": "あ"}\n{"x": 1}\n')
+    (tmp_path / "l.jsonl").write_text('{"en": "a"}\n')
+    lines = readers.json_lines(spark, str(tmp_path / "k.jsonl"), str(tmp_path / "l.jsonl"))
+    assert {r.file[-7:]: (r.lines, r.expanding, r.usable) for r in readers.expands(lines, [("ko", "ja")]).collect()} == {"k.jsonl": (2, 1, True), "l.jsonl": (1, 0, False)}
+
+
+def test_source_marks_are_cleaned(spark):
+    r = one(spark, "&name1& (가)/(나) 안녕*", ">>12 > hello https://a.b/c  there", "これは12 「x", t=readers.cleaned(A, "transcript"), f=readers.cleaned(B, "forum"), v=readers.cleaned(C, "verse"))
+    assert r == {"t": "안녕", "f": "> hello there", "v": "これは 「x"}
+    df = spark.createDataFrame([(["short", "a longer line >>3", "a longer line"],)], "c array<string>")
+    assert [x.text for x in readers.dialogue_lines(df, "c").collect()] == ["a longer line"]
 
 
 def test_recovery_reasons(spark):
