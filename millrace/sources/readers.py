@@ -174,10 +174,17 @@ LANGUAGE_FOLDER = r"^[A-Za-z][A-Za-z0-9]{0,15}$"
 def discover(spark: SparkSession, root: str, languages: list[str]) -> DataFrame:
     """(language, path, length, reason) of every file below a root; ``reason`` is null for files that are read.
 
-    Only names and sizes are listed, no content. Folders that are no language,
-    or none that is configured, other suffixes and empty files have a reason.
+    Only names and sizes are listed, on the driver (Spark's readers pass over
+    empty files). Folders that are no language, or none that is configured,
+    other suffixes and empty files have a reason.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    names: list[tuple[str, int]] = []
+    while listed.hasNext():
+        f = listed.next()
+        names.append((f.getPath().toString(), f.getLen()))
+    files = spark.createDataFrame(names, "path string, length long")
     rel = F.regexp_extract("path", re.escape(root.rstrip("/").split("/")[-1]) + r"/(.+)$", 1)
     folder = F.when(F.contains(rel, F.lit("/")), F.substring_index(rel, "/", 1))
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
