@@ -116,7 +116,7 @@ def water_fill(sizes: dict[str, int], temperature: float, most_repeats: float) -
 
 
 def preservation(rows: DataFrame, source: str, output: str, scripts: list[str], normal: bool = True, units: bool = True) -> DataFrame:
-    """One row: mean F1 of signs, units and numbers times 100, violations, rows with foreign scripts."""
+    """One row: mean F1 of signs, units and numbers times 100, violations, rows with foreign scripts and these scripts."""
     s, o = F.col(source), F.col(output)
     bags = {"sign": (X.sign_markers(s, normal), X.sign_markers(o, normal)), "number": (X.numeric_tokens(s, normal), X.numeric_tokens(o, normal))}
     if units:
@@ -127,5 +127,6 @@ def preservation(rows: DataFrame, source: str, output: str, scripts: list[str],
     for k, (a, b) in bags.items():
         cols |= {f"{k}_f1": X.bag_f1(a, b), f"{k}_ok": F.array_sort(a) == F.array_sort(b)}
         aggs += [F.round(F.avg(f"{k}_f1") * 100, 6).alias(f"{k}_f1"), F.count_if(~F.col(f"{k}_ok")).alias(f"{k}_violations")]
-    cols["script_ok"] = F.size(X.foreign_scripts(o, scripts)) == 0
-    return rows.withColumns(cols).agg(*aggs, F.count_if(~F.col("script_ok")).alias("script_violations"))
+    cols["_foreign"] = X.foreign_scripts(o, scripts)
+    seen = F.array_sort(F.array_distinct(F.flatten(F.collect_set("_foreign"))))  # sets of a few script names
+    return rows.withColumns(cols).agg(*aggs, F.count_if(F.size("_foreign") > 0).alias("script_violations"), seen.alias("foreign_scripts"))

@@ -157,6 +157,20 @@ def refine(state: DataFrame, revise, score, accept: float, least_gain: float, ro
     return rest if done is None else done.unionByName(rest)
 
 
+def refinement_summary(done: DataFrame) -> DataFrame:
+    """One row: sentences, revisions in all and each, untouched sentences, and sentences by stop reason."""
+    per = done.groupBy("stop_reason").agg(F.count("*").alias("n"), F.sum("revisions").alias("r"), F.count_if(F.col("revisions") == 0).alias("z"))
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("stop_reason", "n"))))  # a few reasons
+    out = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sentences"), F.coalesce(F.sum("r"), F.lit(0)).alias("revisions_total"), F.coalesce(F.sum("z"), F.lit(0)).alias("unrevised_sentences"), pairs.alias("stop_reasons"))
+    return out.withColumn("revisions_per_sentence", F.when(F.col("sentences") > 0, F.col("revisions_total") / F.col("sentences")).otherwise(F.lit(0.0)))
+
+
+def by_category(rows: DataFrame, output: str, reference: str, system: str, direction: str, category: str) -> DataFrame:
+    """chrF of each system and direction, and of each category within (null: all of them)."""
+    whole = chrf(rows, output, reference, [system, direction]).withColumn(category, F.lit(None).cast("string"))
+    return chrf(rows, output, reference, [system, direction, category]).unionByName(whole)
+
+
 def markdown(report: DataFrame, most: int = 200) -> str:
     """A small report as a Markdown table; more than ``most`` rows are an error."""
     rows = report.limit(most + 1).collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,10 +79,10 @@ def terms_in(terms: dict[str, str]):
     return run
 
 
-def substitute(text: str, terms: dict[str, str], most: int = 64) -> tuple[str, dict[str, str]]:
+def substitute(text: str, terms: dict[str, str], most: int = 64, matcher: Matcher | None = None) -> tuple[str, dict[str, str]]:
     """Placeholders for source terms, and what each stands for in the target language."""
     out, at, slots = [], 0, {}
-    for a, b, t in Matcher(terms).find(text)[:most]:
+    for a, b, t in (matcher or Matcher(terms)).find(text)[:most]:
         slot = f"<term_{len(slots)}>"
         slots[slot] = terms[t]
         out += [text[at:a], slot]
@@ -89,14 +90,31 @@ def substitute(text: str, terms: dict[str, str], most: int = 64) -> tuple[str, d
     return "".join(out) + text[at:], slots
 
 
+def substituted(terms: dict[str, str], most: int = 64):
+    """``substitute`` of a text column, as (text, slots); the glossary's trie is built once a task."""
+
+    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("slots", T.MapType(T.StringType(), T.StringType()))]))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(terms)
+        for s in parts:
+            made = [substitute(t, terms, most, matcher) if t is not None else (None, None) for t in s]
+            yield pd.DataFrame(made, columns=["text", "slots"], dtype=object)
+
+    return run
+
+
 def hints(rows: DataFrame, source: str, target: str, terms: dict[str, str], most: int = 3) -> DataFrame:
     """Hints of terms found on both sides, the rarest first, at most ``most`` a row; rows without one go."""
     found = rows.withColumn("_m", F.filter(terms_in(terms)(F.col(source)), lambda m: F.contains(F.col(target), m["target"])))
     found = found.filter(F.size("_m") > 0)
-    counts = {r["t"]: r["n"] for r in found.select(F.explode(F.array_distinct(F.transform("_m", lambda m: m["source"]))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # no more rows than terms
-    rank = F.create_map(*[F.lit(v) for kv in counts.items() for v in kv]) if counts else F.create_map().cast("map<string,bigint>")
-    order = F.array_sort(F.transform(F.array_distinct(F.transform("_m", lambda m: F.struct(m["source"].alias("source"), m["target"].alias("target")))), lambda m: F.struct(rank[m["source"]].alias("n"), m["source"].alias("source"), m["target"].alias("target"))))
-    return found.withColumn("terms", F.slice(order, 1, most)).drop("_m")
+    names = F.array_distinct(F.transform("_m", lambda m: m["source"]))
+    counts = {r["t"]: r["n"] for r in found.select(F.explode(names).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # no more rows than terms
+
+    @F.pandas_udf("array<struct<n:bigint,source:string,target:string>>")
+    def rarest(s: pd.Series) -> pd.Series:
+        return s.map(lambda ms: [{"n": n, "source": x, "target": y} for n, x, y in sorted({(counts[m["source"]], m["source"], m["target"]) for m in ms})[:most]])
+
+    return found.withColumn("terms", rarest("_m")).drop("_m")
 
 
 def from_corpus(rows: DataFrame, source: str, target: str, least: int = 2, most: int = 24) -> DataFrame:
@@ -105,6 +123,19 @@ def from_corpus(rows: DataFrame, source: str, target: str, least: int = 2, most:
     return fit.groupBy(source).agg(F.min(F.struct(*[c for c in ("line",) if c in rows.columns], target)).alias("_t")).select(source, F.col(f"_t.{target}").alias(target))
 
 
+# Function morphemes that cannot stand by themselves, by language.
+ORPHANS = {
+    "ko": ("의", "는", "을", "를", "에", "에서", "에게", "에게서", "한테", "께", "께서", "으로", "이랑", "부터", "까지", "처럼", "이라서", "이라고", "이라는"),
+    "ja": ("は", "が", "を", "に", "へ", "と", "の", "から", "まで", "より", "のは", "には", "とは", "では", "への", "からは"),
+}
+ORPHANS["kj"] = ORPHANS["ko"] + ORPHANS["ja"]
+
+
+def morphemes(language: str) -> Morphemes | None:
+    """Those of a language; none for a language without a table, which is then not checked."""
+    return Morphemes(ORPHANS[language]) if language in ORPHANS else None
+
+
 class Morphemes:
     """Function morphemes that a segmenter cut off: found, joined to the word before, or reported as holes."""
 

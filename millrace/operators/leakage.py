@@ -182,3 +182,17 @@ def screen(text: Column, first: tuple[str, ...], second: tuple[str, ...]) -> Col
         return F.lit("unscreened")
     has = lambda ws: _any(F.lower(text), [w.lower() for w in ws])
     return F.when(has(first) & has(second), F.lit("flagged")).otherwise(F.lit("clear"))
+
+
+def findings_by(rows: DataFrame, findings: str, by: list[str]) -> DataFrame:
+    """Findings by rule and group, the rows that have them and the highest confidence; rows without rules are not counted."""
+    one = rows.select(*by, F.explode(findings).alias("_f")).select(*by, "_f.rule", "_f.confidence")
+    return one.groupBy(*by, "rule").agg(F.count("*").alias("findings"), F.max("confidence").alias("most_confident"))
+
+
+def screen_counts(rows: DataFrame, text: Column, first: tuple[str, ...], second: tuple[str, ...]) -> DataFrame:
+    """(list, marker, n): in how many flagged rows each marker of the two lists stands."""
+    low = F.lower(text)
+    seen = lambda name, ws: [F.when(F.contains(low, F.lit(w.lower())), F.struct(F.lit(name).alias("list"), F.lit(w).alias("marker"))) for w in ws]
+    flagged = rows.filter(screen(text, first, second) == "flagged")
+    return flagged.select(F.inline(F.array_compact(F.array(*seen("first", first), *seen("second", second))))).groupBy("list", "marker").agg(F.count("*").alias("n"))

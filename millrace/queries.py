@@ -294,6 +294,14 @@ def term_screen(spark, d):
     return table(spark, d, "documents").select("doc_id", leakage.screen(F.col("text"), ("idiot", "clown"), ("the", "and")).alias("state"))
 
 
+@query(r"""WITH f AS (SELECT lower(text) AS t FROM documents WHERE (contains(lower(text), 'idiot') OR contains(lower(text), 'clown')) AND (contains(lower(text), 'the') OR contains(lower(text), 'and'))),
+m AS (SELECT unnest([{'list': 'first', 'marker': 'idiot'}, {'list': 'first', 'marker': 'clown'}, {'list': 'second', 'marker': 'the'}, {'list': 'second', 'marker': 'and'}], recursive := true))
+SELECT list, marker, count(*) AS n FROM f JOIN m ON contains(t, marker) GROUP BY ALL""")
+def screen_markers(spark, d):
+    """How often each marker stands in a flagged document."""
+    return leakage.screen_counts(table(spark, d, "documents"), F.col("text"), ("idiot", "clown"), ("the", "and"))
+
+
 # audits ---------------------------------------------------------------------------------------------
 
 

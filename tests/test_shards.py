@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.operators import evaluate, shards, tokens
+from millrace.operators import evaluate, glossary, leakage, shards, tokens
 from millrace.plans import prepare
 from millrace.sources import checkpoints
 from millrace.streaming import queue
@@ -156,3 +156,24 @@ def test_queue_gates_and_isolation(spark, tmp_path):
         pass
     with queue.sole_writer(spark, ck):
         pass
+
+
+def test_summaries(spark):
+    done = spark.createDataFrame([("accepted", 0), ("accepted", 2), ("no_gain", 1)], "stop_reason string, revisions int")
+    r = evaluate.refinement_summary(done).first()
+    assert (r.sentences, r.revisions_total, r.unrevised_sentences, r.stop_reasons, r.revisions_per_sentence) == (3, 3, 1, {"accepted": 2, "no_gain": 1}, 1.0)
+    assert evaluate.refinement_summary(done.limit(0)).first().sentences == 0
+    df = spark.createDataFrame([("a", "ko-ja", "x", "가나", "가나"), ("a", "ko-ja", "y", "가나", "다라")], "system string, direction string, category string, h string, r string")
+    out = {r.category: r.chrf for r in evaluate.by_category(df, "h", "r", "system", "direction", "category").collect()}
+    assert out["x"] == 100 and out["y"] == 0 and 0 < out[None] < 100
+    pairs = spark.createDataFrame([("s1", "씨발", "種まき"), ("s1", "안녕", "こんにちは"), ("s2", "닥쳐", "静か")], "source string, a string, b string")
+    found = pairs.withColumn("f", leakage.contamination(F.col("a"), F.col("b"), ("ko", "ja")))
+    assert {(r.source, r.rule): (r.findings, r.most_confident) for r in leakage.findings_by(found, "f", ["source"]).collect()} == {
+        ("s1", "known_literal_mistranslation"): (1, 0.95), ("s1", "profanity_intensity_lost"): (1, 0.45), ("s2", "profanity_intensity_lost"): (1, 0.45),
+    }
+
+
+def test_glossary_columns(spark):
+    df = spark.createDataFrame([("a machine here",), (None,)], "t string").select(glossary.substituted({"machine": "Maschine"})("t").alias("m"))
+    assert [(r.m.text, r.m.slots) for r in df.collect()] == [("a <term_0> here", {"<term_0>": "Maschine"}), (None, None)]
+    assert glossary.morphemes("ko").rejoin("나 는 밥 을") == "나는 밥을" and glossary.morphemes("de") is None and glossary.morphemes("kj").stranded("x は 는") == ["は", "는"]
