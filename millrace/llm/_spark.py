@@ -43,13 +43,26 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_tables: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read back."""
+    """The rows written as Parquet to the shared folder and read back; ``discard`` removes them."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> int:
+    """Remove all intermediate tables of this driver; results that were not written yet are lost with them."""
+    n = len(_tables)
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``_key`` long, ``_text``) of each row, ``_key`` unique and ordered as the ids, and the id where it differs.
 

@@ -454,3 +454,17 @@ def test_embedding_edges(spark):
 def test_every_operator_has_its_query():
     names = list(queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+
+
+def test_intermediate_tables_can_be_discarded(spark, docs):
+    from pathlib import Path
+
+    from millrace.llm import _spark
+
+    before = list(_spark._tables)
+    _spark._tables.clear()
+    minhash.classes(docs.limit(20)).collect()
+    places = [Path(p.removeprefix("file:")) for p in _spark._tables]
+    assert places and all(p.exists() for p in places)
+    assert _spark.discard(spark) == len(places) and not any(p.exists() for p in places) and _spark._tables == []
+    _spark._tables.extend(before)
