@@ -58,7 +58,7 @@ def strip(t: Column) -> Column:
 
 def squeeze(t: Column) -> Column:
     """Stripped, runs of white space as one blank."""
-    return strip(F.regexp_replace(t, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(t, f"{WS}+", " "))  # only blanks are left to strip
 
 
 def canonical_text(t: Column, normal: bool = True) -> Column:

@@ -64,12 +64,18 @@ def exposure(rows: DataFrame, tokens: str, by: list[str]) -> DataFrame:
 
 
 def exposure_buckets(seen: DataFrame, vocabulary: DataFrame, by: list[str]) -> DataFrame:
-    """Tokens never seen, seen once, 1 to 9 and 1 to 24 times, for each group, over a whole vocabulary."""
-    groups = seen.select(*by).distinct()
-    full = groups.crossJoin(F.broadcast(vocabulary)) if by else vocabulary  # groups are languages, the vocabulary is fixed
-    all_ = full.join(seen, [*by, "token"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    n = F.col("n")
-    return all_.groupBy(*by).agg(F.sum("n").alias("tokens"), F.count_if(n == 0).alias("unseen"), F.count_if(n == 1).alias("once"), F.count_if(n.between(1, 9)).alias("under_10"), F.count_if(n.between(1, 24)).alias("under_25"))
+    """Tokens never seen, seen once, 1 to 9 and 1 to 24 times, for each group, over a whole vocabulary.
+
+    Absent tokens are counted as the vocabulary's size less those that are
+    there, so groups and vocabulary are never multiplied.
+    """
+    words = vocabulary.select("token").distinct()
+    size = words.agg(F.count("*").alias("_size"))
+    n = F.when(F.col("_known"), F.col("n"))
+    marked = seen.join(words.withColumn("_known", F.lit(True)), "token", "left")
+    buckets = {"once": n == 1, "under_10": n.between(1, 9), "under_25": n.between(1, 24)}
+    per = marked.groupBy(*by).agg(F.coalesce(F.sum(n), F.lit(0)).alias("tokens"), F.count_if(n > 0).alias("_types"), *[F.count_if(c).alias(k) for k, c in buckets.items()])
+    return per.crossJoin(size).select(*by, "tokens", (F.col("_size") - F.col("_types")).alias("unseen"), *buckets)  # size is a single row
 
 
 def required_characters(rows: DataFrame, text: Column, least: int = 25, reserved: str = "") -> DataFrame:

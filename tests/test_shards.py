@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.operators import evaluate, glossary, leakage, shards, tokens
-from millrace.plans import prepare
+from millrace.plans import build, prepare
 from millrace.sources import checkpoints
 from millrace.streaming import queue
 
@@ -177,3 +177,29 @@ def test_glossary_columns(spark):
     df = spark.createDataFrame([("a machine here",), (None,)], "t string").select(glossary.substituted({"machine": "Maschine"})("t").alias("m"))
     assert [(r.m.text, r.m.slots) for r in df.collect()] == [("a <term_0> here", {"<term_0>": "Maschine"}), (None, None)]
     assert glossary.morphemes("ko").rejoin("나 는 밥 을") == "나는 밥을" and glossary.morphemes("de") is None and glossary.morphemes("kj").stranded("x は 는") == ["は", "는"]
+
+
+def test_builders(spark):
+    files = lambda rows: spark.createDataFrame(rows, "path string, content string")
+    ko = files([("a.ftl", "# c\nhello = 안녕하세요\nsave.key = 저장\nbad = {x} 값\ndup = 안녕하세요"), ("b.ftl", "only = 하나")])
+    ja = files([("a.ftl", "hello = こんにちは\nsave.key = 保存\nbad = {y} 値\ndup = こんにちは\nmore = 追加")])
+    pairs = build.joined_messages(build.parsed_messages(ko, "ftl"), build.parsed_messages(ja, "ftl"))
+    out = build.user_interface(pairs)
+    assert {r.resource_id: r.reason for r in out.collect()} == {"a.ftl::hello": "internal_exact_duplicate", "a.ftl::dup": None, "a.ftl::save.key": "access_key", "a.ftl::bad": "placeholder_mismatch"}
+    assert {r.reason: r.n for r in build.report(out).collect()}["kept"] == build.accepted(out).count() == 1
+    deep = build.parsed_messages(files([("p", '{"contents": {"x": {"k": "값"}}, "other": {"k": "y"}}')]), "json", "contents").collect()
+    assert [(r.key, r.text) for r in deep] == [("x/k", "값")]
+
+    kind = "id string, scenario string, intent string, utt string, slot_method array<struct<slot:string,method:string>>, judgments array<struct<intent_score:int,grammar_score:int,spelling_score:int,slots_score:int,language_identification:string>>"
+    good, slot = [(1, 4, 2, 1, "target")] * 3, [("time", "translation")]
+    a = [("1", "s", "i", "가", slot, good), ("2", "s", "i", "나", slot, good), ("3", "s", "i", "다", [("t", "localization")], good), ("4", "s", "i", "라", slot, good), ("5", "s", "i", "마", slot, good[:1]), ("6", "s", "i", " ", None, good), ("7", "s", "i", "가", slot, good), ("9", "s", "i", "x", slot, good), ("10", "s", "i", "아", None, good)]
+    b = [("1", "s", "i", "あ", slot, good), ("2", "s", "j", "い", slot, good), ("3", "s", "i", "う", slot, good), ("4", "s", "i", "え", [("time", "unchanged")], good), ("5", "s", "i", "お", slot, good), ("6", "s", "i", "か", None, good), ("7", "s", "i", "あ", slot, good), ("8", "s", "i", "き", slot, good), ("10", "s", "i", "く", slot, good)]
+    out = build.utterances(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind))
+    assert {r.resource_id: r.reason for r in out.collect()} == {
+        "1": None, "2": "scenario_or_intent_mismatch", "3": "locale_specific_slot_localization", "4": "slot_method_mismatch", "5": "judgment_quality", "6": "empty", "7": "internal_exact_duplicate", "10": "slot_label_mismatch",
+    }
+
+    parts = spark.createDataFrame([("GEN.1.1", 2, "말씀이다"), ("GEN.1.1", 1, "태초에"), ("GEN.1.2", 1, "그리고"), ("GEN.2.1", 1, "둘째"), ("PSA.1.1", 1, "시편")], "verse_id string, position int, text string")
+    x = build.merged_verses(parts)
+    y = spark.createDataFrame([("GEN.1.1", "初めに"), ("GEN.1.2", "a"), ("GEN.2.1", "二"), ("GEN.2.2", "三"), ("PSA.1.1", "詩編")], "verse_id string, text string")
+    assert {(r.resource_id, r.a, r.reason) for r in build.verses(x, y).collect()} == {("GEN.1.1", "태초에 말씀이다", None), ("GEN.1.2", "그리고", "missing_expected_script_or_too_short")}
