@@ -7,12 +7,15 @@
 2. Segments of equal content collapse: all but the first are later occurrences
    as they stand. Where a group has several contents, the first segment of each
    goes on, with its bytes.
-3. The segments of a task form a text collection whose Burrows-Wheeler
-   transform and longest common prefixes are built column by column: each round
-   inserts one symbol of every segment, from the last to the first, and rewrites
-   the two columns through sequential files in a temporary folder. Neighbours
-   in suffix order with a common prefix of ``length`` or more hold the same
-   window; all but the earliest are later occurrences.
+3. The segments of a task form a text collection. Windows at either end of a
+   segment whose hash no other window has cannot repeat and are cut off, which
+   leaves some segments with nothing. Of the rest the Burrows-Wheeler transform
+   and the longest common prefixes are built column by column: each round
+   inserts one symbol of every segment, from the last to the first, reads the
+   columns from sequential files in a temporary folder and writes them anew; a
+   column is in memory while its round runs, so a collection is bounded.
+   Neighbours in suffix order with a common prefix of ``length`` or more hold
+   the same window; all but the earliest are later occurrences.
 4. A group of more than ``bound`` bytes (a passage that very many documents
    share) is not built by one task: its windows are hashed (118 bits), equal
    ones of a slice of text meet before the shuffle, and the rest are dealt by
@@ -247,12 +250,35 @@ def later_windows(data: np.ndarray, start: np.ndarray, lens: np.ndarray, length:
     return which[again].astype(np.int64), (lens[which[again]] - size[again]).astype(np.int64)
 
 
+def repeated_part(data: np.ndarray, start: np.ndarray, lens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, offset, length) of what lies between the first and the last window of a text whose hash another window has too.
+
+    Texts without such a window are left out; equal windows have equal hashes,
+    so none that repeats is lost.
+    """
+    n = lens - length + 1
+    head = np.cumsum(n) - n
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - head[row]
+    h = kgrams(data, length)[start[row] + at]
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    again = np.zeros(len(h), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    first = np.minimum.reduceat(np.where(again, at, len(h)), head)
+    last = np.maximum.reduceat(np.where(again, at, -1), head)
+    text = np.flatnonzero(last >= 0)
+    return text, first[text], (last - first)[text] + length
+
+
 def _compare(groups: pa.RecordBatch, length: int) -> pa.RecordBatch:
     """Spans of the later windows of one or more whole groups of segments."""
     k, a = groups.column(KEY).to_numpy(), groups.column("a").to_numpy()
     order = np.lexsort((a, k))
     data, offs = text_bytes(groups.column("bytes"))
     k, a, start, lens = k[order], a[order].astype(np.int64), offs[:-1][order], np.diff(offs)[order]
+    text, skipped, lens = repeated_part(data, start, lens, length)
+    k, a, start = k[text], a[text] + skipped, start[text] + skipped
     if int(lens.sum()) <= COLLECTION:
         who, at = later_windows(data, start, lens, length)
     else:  # exact as well: equal windows have equal hashes, so they share a part

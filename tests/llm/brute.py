@@ -42,6 +42,45 @@ def lines(docs: list[tuple[int, str]], window: int = 3) -> dict[int, tuple[int,
     return out
 
 
+def chunks(docs: list[tuple[int, bytes]]) -> dict[int, tuple[int, int, int, str]]:
+    """op2: each text chunked by itself, byte by byte; later chunks go in runs of 64 bytes or whole texts."""
+    from millrace.llm._kernel import byte_values
+    from millrace.llm.substring_dedup import LEAST, MEAN_BITS, MIN_RUN, MOST
+
+    values = [int(v) & 0xFFFFFFFF for v in byte_values(7)]
+
+    def cut(text: bytes) -> list[tuple[int, int]]:
+        h, ends, last = 0, [], 0
+        for i, c in enumerate(text, 1):
+            h = ((h << 1) + values[c]) & 0xFFFFFFFF
+            if h >> (32 - MEAN_BITS) == 0 and i < len(text):
+                if i - last >= LEAST:
+                    ends.append(i)
+                last = i
+        out, at = [], 0
+        for end in [*ends, len(text)]:
+            out += [(x, min(x + MOST, end)) for x in range(at, end, MOST)]
+            at = end
+        return out
+
+    seen: set[bytes] = set()
+    out = {}
+    for key, text in sorted(docs):
+        gone: list[list[int]] = []
+        for a, b in cut(text):
+            if text[a:b] in seen:
+                if gone and gone[-1][1] == a:
+                    gone[-1][1] = b
+                else:
+                    gone.append([a, b])
+            seen.add(text[a:b])
+        gone = [g for g in gone if g[1] - g[0] >= MIN_RUN or g == [0, len(text)]]
+        edges = [0, *(x for g in gone for x in g), len(text)]
+        kept = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+        out[key] = (len(text), len(text) - len(kept), len(gone), sha(kept))
+    return out
+
+
 def near_classes(docs: list[tuple[int, str | None]], similarity: float = 0.8) -> dict[int, int]:
     """op8: components of all pairs with a weighted Jaccard similarity of five-word shingles of at least 0.8."""
     import re

@@ -4,12 +4,12 @@ import random
 
 import numpy as np
 import pytest
-from brute import lines, strings
+from brute import chunks, lines, strings
 
 from millrace.llm.line_dedup import dedup_lines, op5_line_dedup
 from millrace.llm.repeats import Judged, whole_groups
-from millrace.llm.substring_dedup import boundaries, dedup_substrings, gear
-from millrace.llm.suffix_dedup import Hot, collection, dedup_strings, op10_suffix_dedup, oversized, segments
+from millrace.llm.substring_dedup import boundaries, dedup_substrings, gear, op2_substring_dedup
+from millrace.llm.suffix_dedup import Hot, collection, dedup_strings, op10_suffix_dedup, oversized, repeated_part, segments
 
 
 def documents(spark, sf):
@@ -82,6 +82,20 @@ def test_windows_of_a_group_over_the_bound_never_reach_one_collection():
     assert not oversized(j, 100, 159 * n).any()
 
 
+def test_no_repeated_window_is_cut_off():
+    rnd = random.Random(8)
+    for _ in range(40):
+        texts = ["".join(rnd.choice("abc") for _ in range(rnd.randint(6, 20))).encode() for _ in range(8)]
+        data, lens = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+        order = np.array(rnd.sample(range(8), 8))
+        got = {order[t]: (int(a), int(n)) for t, a, n in zip(*repeated_part(data, (np.cumsum(lens) - lens)[order], lens[order], 6), strict=True)}
+        windows = [[t[i : i + 6] for i in range(len(t) - 5)] for t in texts]
+        every = sum(windows, [])
+        for i, w in enumerate(windows):
+            at = [j for j, x in enumerate(w) if every.count(x) > 1]
+            assert got.get(i) == ((at[0], at[-1] - at[0] + 6) if at else None)
+
+
 def test_collection_is_sorted_with_its_common_prefixes():
     rnd = random.Random(5)
     for _ in range(50):
@@ -110,6 +124,17 @@ def test_equal_windows_share_an_anchor_even_with_hot_ones():
     assert all(len(v) == 1 for v in seen.values())
 
 
+def test_op2_equals_brute_force_under_any_partitioning(spark, sf):
+    docs = documents(spark, sf)
+    want = chunks([(k, t.encode()) for k, t in docs])
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op2_substring_dedup(spark, sf).collect()}
+    assert got == want and any(v[1] for v in want.values())
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for parts in (1, 7):
+        out = dedup_substrings(table.repartition(parts, "text")).collect()
+        assert {r._id: (r.n_bytes, r.n_bytes - len(r.kept), r.n_spans) for r in out} == {k: v[:3] for k, v in want.items()}
+
+
 def test_chunks_resist_shifts(spark):
     rnd = random.Random(9)
     word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(3, 8)))
