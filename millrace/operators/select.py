@@ -16,8 +16,8 @@ def seeded(seed: str, *parts: Column) -> Column:
 
 
 def fraction(seed: str, t: Column) -> Column:
-    """The rank as a fraction of 1, for sampling by threshold."""
-    return F.conv(F.substring(seeded(seed, t), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+    """The first 64 bits of the rank as a fraction of 1, for sampling by threshold."""
+    return F.conv(F.substring(seeded(seed, t), 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(float(2**64))
 
 
 def frame_caps(rows: DataFrame, outer: list[str], frame: list[str], most_outer: int, most_frame: int, rank: Column) -> DataFrame:

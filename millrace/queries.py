@@ -195,7 +195,15 @@ def structured_spans(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.transform(s, lambda x: x["kind"])), ",").alias("kinds"), F.md5(S.mask(F.col("text"))["text"]).alias("masked"))
 
 
-@query()
+_BODY = "regexp_replace(text, '[ \\t\\r\\n.!?。！？\"''“”‘’]+$', '')"
+
+
+def _level(language: str) -> str:
+    """SQL of the politeness of a sentence's end."""
+    return "CASE " + " ".join(f"WHEN regexp_matches(e, '({x})$') THEN {n}" for n, x in X.REGISTERS[language]) + " ELSE 0 END"
+
+
+@query(f"SELECT {_level('ko')} AS ko, {_level('ja')} AS ja, count(*) AS n FROM (SELECT {_BODY} AS e FROM conversations) GROUP BY ALL")
 def registers(spark, d):
     t = table(spark, d, "conversations")
     return t.groupBy(X.register(F.col("text"), "ko").alias("ko"), X.register(F.col("text"), "ja").alias("ja")).agg(F.count("*").alias("n"))
