@@ -344,6 +344,12 @@ def minhash_native(shingles: Column) -> Column:
     return F.array_min(F.transform(shingles, lambda s: F.substring(F.sha2(s, 256), 1, 16)))
 
 
+def minhash_signature(shingles: Column, num_perm: int = 1) -> Column:
+    """The smallest 64-bit SHA-256 prefix of the shingles under each of ``num_perm`` salts, as hex; the first is unsalted."""
+    salted = lambda i: F.transform(shingles, lambda s: F.concat(F.lit(f"{i}\0"), s)) if i else shingles
+    return F.array(*[minhash_native(salted(i)) for i in range(num_perm)])
+
+
 def markdown_cell(t: Column) -> Column:
     return F.replace(F.replace(t, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 

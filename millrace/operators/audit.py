@@ -121,18 +121,28 @@ def water_fill(sizes: dict[str, int], temperature: float, most_repeats: float) -
         fixed |= over
 
 
-def preservation(rows: DataFrame, source: str, output: str, scripts: list[str], normal: bool = True, units: bool = True) -> DataFrame:
-    """One row: mean F1 of signs, units and numbers times 100, violations, rows with foreign scripts and these scripts."""
+def checked(rows: DataFrame, source: str, output: str, scripts: list[str], normal: bool = True, units: bool = True) -> DataFrame:
+    """Adds ``sign``, ``number`` and ``unit`` (F1 of the bags, and whether they are equal), ``foreign`` scripts and ``passed`` to each row."""
+    from ..functions.spans import unit_tokens
+
     s, o = F.col(source), F.col(output)
     bags = {"sign": (X.sign_markers(s, normal), X.sign_markers(o, normal)), "number": (X.numeric_tokens(s, normal), X.numeric_tokens(o, normal))}
     if units:
-        from ..functions.spans import unit_tokens
-
         bags["unit"] = (unit_tokens(s), unit_tokens(o))
-    cols, aggs = {}, [F.count("*").alias("sentences")]
-    for k, (a, b) in bags.items():
-        cols |= {f"{k}_f1": X.bag_f1(a, b), f"{k}_ok": F.array_sort(a) == F.array_sort(b)}
-        aggs += [F.round(F.avg(f"{k}_f1") * 100, 6).alias(f"{k}_f1"), F.count_if(~F.col(f"{k}_ok")).alias(f"{k}_violations")]
-    cols["_foreign"] = X.foreign_scripts(o, scripts)
-    seen = F.array_sort(F.array_distinct(F.flatten(F.collect_set("_foreign"))))  # sets of a few script names
-    return rows.withColumns(cols).agg(*aggs, F.count_if(F.size("_foreign") > 0).alias("script_violations"), seen.alias("foreign_scripts"))
+    cols = {k: F.struct(X.bag_f1(a, b).alias("f1"), (F.array_sort(a) == F.array_sort(b)).alias("ok")) for k, (a, b) in bags.items()}
+    out = rows.withColumns(cols | {"foreign": X.foreign_scripts(o, scripts)})
+    passed = F.size("foreign") == 0
+    for k in bags:
+        passed = passed & F.col(f"{k}.ok")
+    return out.withColumn("passed", passed)
+
+
+def preservation(rows: DataFrame, source: str, output: str, scripts: list[str], normal: bool = True, units: bool = True) -> DataFrame:
+    """One row: mean F1 of signs, units and numbers times 100, violations, rows with foreign scripts and these scripts."""
+    aggs = [F.count("*").alias("sentences")]
+    for k in ("sign", "number", "unit") if units else ("sign", "number"):
+        aggs += [F.round(F.avg(f"{k}.f1") * 100, 6).alias(f"{k}_f1"), F.count_if(~F.col(f"{k}.ok")).alias(f"{k}_violations")]
+    seen = F.array_sort(F.array_distinct(F.flatten(F.collect_set("foreign"))))  # sets of a few script names
+    return checked(rows.select(source, output), source, output, scripts, normal, units).agg(
+        *aggs, F.count_if(F.size("foreign") > 0).alias("script_violations"), seen.alias("foreign_scripts")
+    )

@@ -142,6 +142,15 @@ def pairs_of(value: Column, languages: list[tuple[str, str]]) -> Column:
     return run(value)
 
 
+def metadata_of(t: Column) -> Column:
+    """The metadata of a JSON object as a map of JSON values; a field that records may not hand down is an error."""
+    unknown = F.array_except(F.json_object_keys(t), F.array(*map(F.lit, META)))
+    text = lambda k: F.try_variant_get(F.try_parse_json(t), f"$.{k}", "string")
+    known = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), text(k).alias("value")) for k in META]), lambda e: e["value"].isNotNull()))
+    bad = F.when(F.json_object_keys(t).isNull(), F.raise_error(F.concat(F.lit("no metadata object: "), F.coalesce(t, F.lit("null")))))
+    return F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("unknown metadata: "), F.array_join(unknown, ", ")))).when(F.json_object_keys(t).isNull(), bad).otherwise(known)
+
+
 def normalize_pairs(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """Order kept, repeated and reversed pairs dropped."""
     out: list[tuple[str, str]] = []

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.operators import evaluate, glossary, leakage, shards, tokens
+from millrace.operators import audit, evaluate, glossary, leakage, shards, tokens
 from millrace.plans import build, prepare
-from millrace.sources import checkpoints
+from millrace.sources import checkpoints, readers
 from millrace.streaming import queue
 
 
@@ -116,8 +116,6 @@ def test_prepare_counters_and_source_only_languages(spark, tmp_path):
     bad = [good[0], json.dumps({"ko": "", "ja": "あいう"}, ensure_ascii=False), json.dumps({"ko": "가" * 20, "ja": "あ" * 20}, ensure_ascii=False), "{broken", json.dumps({"ko": " ".join(f"단어{i}" for i in range(30)), "ja": "、".join(f"言葉{i}の" for i in range(30))}, ensure_ascii=False), "[1]"]
     (tmp_path / "a.jsonl").write_bytes("\n".join([*good, *bad]).encode() + b"\n\xff\n")
     (tmp_path / "synthetic-b.jsonl").write_text("\n".join(json.dumps({"ko": f"합성된 문장입니다 {i}", "ja": f"合成された文です{i}"}, ensure_ascii=False) for i in range(5)))
-    from millrace.sources import readers
-
     lines = readers.json_lines(spark, str(tmp_path))
     pairs = prepare.records(spark, [str(tmp_path)], [("ko", "ja")])
     steps = prepare.judged(pairs, ("ko", "ja"), validation=0.2, test=0.2, approximate=False, most_tokens=60, source_only=("ja",))
@@ -203,3 +201,21 @@ def test_builders(spark):
     x = build.merged_verses(parts)
     y = spark.createDataFrame([("GEN.1.1", "初めに"), ("GEN.1.2", "a"), ("GEN.2.1", "二"), ("GEN.2.2", "三"), ("PSA.1.1", "詩編")], "verse_id string, text string")
     assert {(r.resource_id, r.a, r.reason) for r in build.verses(x, y).collect()} == {("GEN.1.1", "태초에 말씀이다", None), ("GEN.1.2", "그리고", "missing_expected_script_or_too_short")}
+
+
+def test_checked_pairs_signatures_and_metadata(spark):
+    df = spark.createDataFrame([("5 kg and -3", "5 kg und -3"), ("5 kg", "6 kg я"), ("x", "y")], "s string, o string")
+    out = {r.s: r for r in audit.checked(df, "s", "o", ["latin"]).collect()}
+    assert out["5 kg and -3"].passed and out["x"].passed and out["x"].number.f1 == 1.0
+    bad = out["5 kg"]
+    assert not bad.passed and bad.number.f1 == 0 and not bad.number.ok and bad.unit.ok and bad.foreign == ["cyrillic"]
+    r = audit.preservation(df, "s", "o", ["latin"]).first()
+    assert (r.sentences, r.number_violations, r.unit_violations, r.script_violations, r.foreign_scripts) == (3, 1, 0, 1, ["cyrillic"])
+    sig = lambda t: spark.createDataFrame([(t,)], "t string").select(X.minhash_signature(X.char_shingles(F.col("t")), 64).alias("m"), X.minhash_native(X.char_shingles(F.col("t"))).alias("one")).first()
+    a, b = sig("the quick brown fox jumps over the lazy dog again and again"), sig("the quick brown fox jumps over the lazy dog again and again!")
+    assert len(a.m) == 64 and a.m[0] == a.one and sum(x == y for x, y in zip(a.m, b.m, strict=True)) > 50
+    meta = lambda t: spark.createDataFrame([(t,)], "t string").select(readers.metadata_of(F.col("t")).alias("m")).first().m
+    assert meta('{"domain": "a", "category": null}') == {"domain": "a"} and meta("{}") == {}
+    for wrong in ('{"bad": 1}', "[1]", None):
+        with pytest.raises(Exception, match="metadata"):
+            meta(wrong)
