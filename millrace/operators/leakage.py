@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 
-BROADCAST_ROWS = 2_000_000  #: shingles of held-out items up to which the index is broadcast; beyond, it is shuffled
+SENT = 2_000_000  #: characters of held-out items up to which all of them are sent to the executors
 RARITY_IN = 32  #: one row in so many tells how rare a shingle is
 
 
@@ -24,41 +30,88 @@ def _grams(key: Column, size: int) -> Column:
 
 
 def leaks(
-    items: DataFrame, rows: DataFrame, item: str = "item_id", row: str = "doc_id", text: str = "text", size: int = 3, least: float = 0.6, normal: bool = True
-) -> DataFrame:
+    items: DataFrame, rows: DataFrame, item: str = "item_id", row: str = "doc_id", text: str = "text", size: int = 3, least: float = 0.6, normal: bool = True,
+    most_sent: int = SENT,
+) -> DataFrame:
     """(item, row, shared, item_shingles, containment, exact) of each pair with enough of the item's shingles in the row.
 
-    Of an item's n shingles a row may lack ``spare``, so of any m it holds m -
-    spare. Only the item's rarest 2 * spare + 1 are looked up; the pairs that meet
-    often enough are then compared in full. How rare a shingle is comes from a
-    part of the rows, which decides how many pairs meet and nothing else. What
-    is sent to all executors is counted first.
+    Items of at most ``most_sent`` characters in all, which is counted first, are
+    sent to the executors and every row is held against all of them in one pass.
+    Beyond that both sides meet by a join.
     """
     key = lambda t: X.comparison_key(t, normal)
     held = items.select(F.col(item).alias("_item"), key(F.col(text)).alias("_ikey")).filter("length(_ikey) > 0")
+    keys = rows.select(F.col(row).alias("_row"), key(F.col(text)).alias("_rkey"))
+    total = held.agg(F.sum(F.length("_ikey"))).first()[0]
+    out = _scanned(held, keys, size, least) if (total or 0) <= most_sent else _met(held, keys, size, least)
+    return out.withColumnsRenamed({"_item": item, "_row": row})
+
+
+def _scanned(held: DataFrame, keys: DataFrame, size: int, least: float) -> DataFrame:
+    """Every row against an inverted index of the items' shingles."""
+    known = [(r["_item"], r["_ikey"]) for r in held.collect()]  # bounded by the caller
+    kinds = held.schema["_item"].dataType, keys.schema["_row"].dataType
+    kind = to_arrow_type(kinds[0])
+    names = ["_item", "_row", "shared", "item_shingles", "exact"]
+
+    def grams(t: str) -> set[str]:
+        return {t} if len(t) <= size else {t[i : i + size] for i in range(len(t) - size + 1)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: dict[str, list[int]] = {}
+        n = np.zeros(len(known), np.int64)
+        for i, (_, t) in enumerate(known):
+            for g in grams(t):
+                at.setdefault(g, []).append(i)
+                n[i] += 1
+        index = {g: np.array(v) for g, v in at.items()}
+        for batch in batches:
+            where, which, shared = [], [], []
+            for j, t in enumerate(batch.column("_rkey").to_pylist()):
+                hits = [index[g] for g in grams(t) if g in index] if t else []
+                if hits:
+                    counts = np.bincount(np.concatenate(hits), minlength=len(known))
+                    enough = np.flatnonzero(counts / n >= least)
+                    where += [j] * len(enough)
+                    which += enough.tolist()
+                    shared += counts[enough].tolist()
+            text = batch.column("_rkey")
+            exact = [c == n[i] and known[i][1] in text[j].as_py() for j, i, c in zip(where, which, shared, strict=True)]
+            columns = [
+                pa.array([known[i][0] for i in which], kind), batch.column("_row").take(pa.array(where, pa.int64())), pa.array(shared, pa.int64()),
+                pa.array(n[which] if which else [], pa.int32()), pa.array(exact, pa.bool_()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    fields = [T.StructField("_item", kinds[0]), T.StructField("_row", kinds[1]), *T.StructType.fromDDL("shared long, item_shingles int, exact boolean").fields]
+    found = keys.mapInArrow(run, T.StructType(fields)) if known else keys.sparkSession.createDataFrame([], T.StructType(fields))
+    return found.select("_item", "_row", "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment"), "exact")
+
+
+def _met(held: DataFrame, keys: DataFrame, size: int, least: float) -> DataFrame:
+    """Items and rows that share enough rare shingles, then compared in full.
+
+    Of an item's n shingles a row may lack ``spare``, so of any m it holds m -
+    spare. Only the item's rarest 2 * spare + 1 are looked up. How rare a
+    shingle is comes from a part of the rows, which decides how many pairs meet
+    and nothing else.
+    """
     held = held.withColumn("_igrams", _grams(F.col("_ikey"), size)).withColumn("_n", F.size("_igrams"))
     spare = F.col("_n") - F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(least) - F.lit(1e-9)))
     index = held.select("_item", "_n", spare.alias("_spare"), F.explode("_igrams").alias("_g"))
-    keys = rows.select(F.col(row).alias("_row"), key(F.col(text)).alias("_rkey"))
-    small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sent = F.broadcast if small else (lambda t: t)
-    wanted = index.select("_g").distinct()
     some = keys.filter(F.pmod(F.xxhash64("_row"), F.lit(RARITY_IN)) == 0).select(F.explode(_grams(F.col("_rkey"), size)).alias("_g"))
-    often = some.join(sent(wanted), "_g").groupBy("_g").agg(F.count("*").alias("_often"))
+    often = some.join(index.select("_g").distinct(), "_g").groupBy("_g").agg(F.count("*").alias("_often"))
     ranked = index.join(often, "_g", "left").withColumn("_at", F.row_number().over(W.partitionBy("_item").orderBy(F.coalesce("_often", F.lit(0)), "_g")))
     rare = ranked.filter(F.col("_at") <= 2 * F.col("_spare") + 1)
     rare = rare.select("_g", "_item", (F.least("_n", 2 * F.col("_spare") + 1) - F.col("_spare")).alias("_least"))
     probe = keys.select("_row", F.explode(_grams(F.col("_rkey"), size)).alias("_g"))
-    near = probe.join(sent(rare), "_g").groupBy("_item", "_row").agg(F.count("*").alias("_met"), F.first("_least").alias("_least"))
-    near = near.filter("_met >= _least").select("_item", "_row")
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much to compare
-    both = near.repartition(tasks, "_row").join(keys, "_row").join(sent(held), "_item")
+    near = probe.join(rare, "_g").groupBy("_item", "_row").agg(F.count("*").alias("_met"), F.first("_least").alias("_least"))
+    both = near.filter("_met >= _least").select("_item", "_row").join(keys, "_row").join(held, "_item")
     grams = F.size(F.filter("_igrams", lambda g: F.contains("_rkey", g)))
     shared = F.when(F.length("_rkey") <= size, F.array_contains("_igrams", F.col("_rkey")).cast("int")).when(F.length("_ikey") >= size, grams).otherwise(F.lit(0))
     both = both.withColumn("shared", shared.cast("long")).filter(F.col("shared") / F.col("_n") >= least)
     exact = (F.col("shared") == F.col("_n")) & F.contains("_rkey", F.col("_ikey"))
-    out = both.select("_item", "_row", "shared", F.col("_n").alias("item_shingles"), (F.col("shared") / F.col("_n")).alias("containment"), exact.alias("exact"))
-    return out.withColumnsRenamed({"_item": item, "_row": row})
+    return both.select("_item", "_row", "shared", F.col("_n").alias("item_shingles"), (F.col("shared") / F.col("_n")).alias("containment"), exact.alias("exact"))
 
 
 def worst(found: DataFrame, item: str, row: str, most: int = 5) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import spans as S
 from .functions import text as X
 from .operators import audit, dedup, evaluate, leakage, quality, select, shards, tokens
+from .session import spread
 from .sources import readers
 from .streaming import queue
 
@@ -48,7 +49,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
     """(conv_id, turn, source, target) of consecutive turns."""
-    t = table(spark, d, "conversations")
+    t = spread(table(spark, d, "conversations"))
     later = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
     return t.select("conv_id", "turn", F.col("text").alias("source")).join(later, ["conv_id", "turn"])
 
@@ -74,7 +75,7 @@ u AS (SELECT lang, ('0x' || substr(sha256(k), 1, 16))::UBIGINT::DOUBLE / 1844674
 SELECT lang, CASE WHEN u < 0.005 THEN 'test' WHEN u < 0.01 THEN 'validation' ELSE 'train' END AS split, count(*) AS n FROM u GROUP BY ALL""")
 def dataset_split(spark, d):
     """Canonical text, one owner per text, a split by its hash: rows by language and split."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     k = X.canonical_text(F.col("text"))
     one = dedup.first_owner(docs.select("doc_id", "lang", k.alias("k")), F.col("k"), ["doc_id"])
     return one.groupBy("lang", X.split_of(F.col("k")).alias("split")).agg(F.count("*").alias("n"))
@@ -82,14 +83,14 @@ def dataset_split(spark, d):
 
 @query(rf"SELECT min(doc_id) AS doc_id, {SQUEEZED.replace('text', 'any_value(text)')} IS NOT NULL AS kept FROM documents GROUP BY {SQUEEZED}")
 def exact_dedup(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents")).select("doc_id", "text")
     return dedup.first_owner(docs, X.dedup_key(F.col("text")), ["doc_id"]).select("doc_id", F.lit(True).alias("kept"))
 
 
 @query(rf"""
 SELECT doc_id, ('0x' || substr(sha256({SQUEEZED}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 AS u FROM documents""")
 def split_fraction(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.unit_fraction(X.split_key(F.col("text"))).alias("u"))
+    return spread(table(spark, d, "documents")).select("doc_id", X.unit_fraction(X.split_key(F.col("text"))).alias("u"))
 
 
 @query(rf"""
@@ -111,7 +112,7 @@ WITH c AS (SELECT doc_id, replace({SQUEEZED}, ' ', '') AS c, {SQUEEZED} AS n FRO
 k AS (SELECT doc_id, CASE WHEN len(c) <= 5 THEN 'exact' || chr(0) || n ELSE 'minhash' || chr(0) || list_min(list_transform(range(1, len(c) - 3), lambda i: substr(sha256(substr(c, i, 5)), 1, 16))) END AS k FROM c)
 SELECT min(doc_id) AS first_doc, count(*) AS n FROM k GROUP BY k""")
 def approximate_split_groups(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     return docs.groupBy(dedup.approximate_key(F.col("text"), False).alias("k")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).drop("k")
 
 
@@ -128,12 +129,12 @@ def new_against_corpus(spark, d):
 @query(rf"SELECT doc_id, md5({SQUEEZED.replace('text', 'nfc_normalize(text)')}) AS digest, len({SQUEEZED.replace('text', 'nfc_normalize(text)')}) AS n FROM documents")
 def canonical_text(spark, d):
     k = X.canonical_text(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.md5(k).alias("digest"), F.length(k).cast("long").alias("n"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.md5(k).alias("digest"), F.length(k).cast("long").alias("n"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(text, '[\p{P}\p{S}\p{Z}\p{C}]', '', 'g')) AS digest FROM documents")
 def comparison_keys(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(X.comparison_key(F.col("text"))).alias("digest"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.md5(X.comparison_key(F.col("text"))).alias("digest"))
 
 
 @query(r"""
@@ -144,14 +145,14 @@ FROM documents""")
 def surface_measures(spark, d):
     t = F.col("text")
     letters = X.letter_count(t)
-    return table(spark, d, "documents").select("doc_id", X.visible_length(t).cast("long").alias("visible"), letters.cast("long").alias("letters"), F.round(X.script_count(t, "latin") / F.greatest(letters, F.lit(1)), 8).alias("latin_share"), X.has_control(t).alias("control"))
+    return spread(table(spark, d, "documents")).select("doc_id", X.visible_length(t).cast("long").alias("visible"), letters.cast("long").alias("letters"), F.round(X.script_count(t, "latin") / F.greatest(letters, F.lit(1)), 8).alias("latin_share"), X.has_control(t).alias("control"))
 
 
 @query(r"""
 WITH s AS (SELECT doc_id, regexp_replace(text, '\s', '', 'g') AS s FROM documents)
 SELECT doc_id, round(coalesce(list_max(list_transform(list_distinct(string_split(s, '')), lambda c: len(s) - len(replace(s, c, '')))) / nullif(len(s), 0), 0), 8) AS top_share FROM s""")
 def repetition_share(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(X.top_share(F.col("text")), 8).alias("top_share"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.round(X.top_share(F.col("text")), 8).alias("top_share"))
 
 
 @query(r"""
@@ -160,7 +161,7 @@ SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '[\x{600}-\x{6FF}\x
   CASE WHEN regexp_matches(text, '[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{A960}-\x{A97F}\x{AC00}-\x{D7A3}]') THEN 'hangul' END, CASE WHEN regexp_matches(text, '[\x{590}-\x{5FF}]') THEN 'hebrew' END,
   CASE WHEN regexp_matches(text, '[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9D}]') THEN 'kana' END, CASE WHEN regexp_matches(text, '[A-Za-z\x{C0}-\x{24F}]') THEN 'latin' END, CASE WHEN regexp_matches(text, '[\x{E00}-\x{E7F}]') THEN 'thai' END) AS scripts FROM documents""")
 def scripts_present(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(X.scripts_in(F.col("text")), ",").alias("scripts"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.array_join(X.scripts_in(F.col("text")), ",").alias("scripts"))
 
 
 @query(rf"""
@@ -185,14 +186,14 @@ def bag_scores(spark, d):
 @query()
 def numeric_values(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.size(X.numeric_tokens(t, False)).alias("numbers"), F.size(X.sign_markers(t, False)).alias("signs"), F.size(S.unit_tokens(t)).alias("units"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.size(X.numeric_tokens(t, False)).alias("numbers"), F.size(X.sign_markers(t, False)).alias("signs"), F.size(S.unit_tokens(t)).alias("units"))
 
 
 @query()
 def structured_spans(spark, d):
     """Span kinds of every document, and the masked text's digest."""
     s = S.spans(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.transform(s, lambda x: x["kind"])), ",").alias("kinds"), F.md5(S.mask(F.col("text"))["text"]).alias("masked"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.array_join(F.array_sort(F.transform(s, lambda x: x["kind"])), ",").alias("kinds"), F.md5(S.mask(F.col("text"))["text"]).alias("masked"))
 
 
 _BODY = "regexp_replace(text, '[ \\t\\r\\n.!?。！？\"''“”‘’]+$', '')"
@@ -272,7 +273,7 @@ l AS (SELECT h.*, shared / item_shingles AS containment, coalesce(contains(k.k,
 
 
 def _found(spark, d):
-    return leakage.leaks(table(spark, d, "benchmark"), table(spark, d, "documents").select("doc_id", "text"), least=0.9, normal=False)
+    return leakage.leaks(table(spark, d, "benchmark"), spread(table(spark, d, "documents")).select("doc_id", "text"), least=0.9, normal=False)
 
 
 @query(f"WITH {_GRAMS} SELECT item_id, doc_id, shared, item_shingles, round(containment, 8) AS containment, exact FROM l")
@@ -363,14 +364,14 @@ def top_skeletons(spark, d):
 
 @query(r"SELECT character, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(text, '\s', '', 'g'), '')) AS character FROM documents) WHERE character <> '' GROUP BY 1 HAVING count(*) >= 25")
 def required_characters(spark, d):
-    return audit.required_characters(table(spark, d, "documents"), F.col("text"))
+    return audit.required_characters(spread(table(spark, d, "documents")), F.col("text"))
 
 
 _TOKENS = f"t AS (SELECT lang, unnest({WORDS.format('text')}) AS token FROM documents), s AS (SELECT lang, token, count(*) AS n FROM t GROUP BY ALL), voc AS (SELECT DISTINCT token FROM s)"
 
 
 def _seen(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     return audit.exposure(docs.withColumn("w", words(F.col("text"))), "w", ["lang"])
 
 

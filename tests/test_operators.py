@@ -227,7 +227,9 @@ def test_leaks(spark):
     grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)} if len(t) > 3 else {t}
     for least in (0.3, 0.6, 1.0):
         want = {(i, j, len(grams(s) & grams(t)), s in t and grams(s) <= grams(t)) for i, s in texts[:20] for j, t in texts if len(grams(s) & grams(t)) >= least * len(grams(s))}
-        assert {(r.item_id, r.doc_id, r.shared, r.exact) for r in leakage.leaks(held, df, least=least).collect()} == want
+        for sent in (0, 10**6):  # by a join, and by one pass
+            assert {(r.item_id, r.doc_id, r.shared, r.exact) for r in leakage.leaks(held, df, least=least, most_sent=sent).collect()} == want
+    assert leakage.leaks(held.limit(0), df).collect() == [] and leakage.leaks(held, df.limit(0)).collect() == []
     cases = spark.createDataFrame([("c", "x", "ko", "ja", "a b", "c d")], "id string, category string, source_language string, target_language string, source string, reference string")
     assert [(r.item_id, r.language) for r in leakage.holdout_items(cases).collect()] == [("c#source", "ko"), ("c#reference", "ja")]
 
