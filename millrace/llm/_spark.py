@@ -12,6 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY, TEXT, DOC = "_key", "_text", "_doc"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20  #: of an Arrow batch; the JVM, the pipe and the Python worker each hold one
+
+
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Have this session hand rows to Python in batches of about ``most`` bytes, a longer row by itself; every row is handed over.
+
+    The limit by rows alone lets a batch grow with its texts. It holds from now
+    on, as plans are executed after a stage has returned; a lower one stays.
+    """
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= most:
+        spark.conf.set(BATCH, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -52,7 +52,7 @@ from .repeats import whole_groups
 SHINGLE, SIMILARITY = 5, 0.8
 COORDINATES, ROWS = 64, 4
 CELL, CELL_ELEMENTS = 1024, 1 << 22  #: members and shingles of a cell; a larger bucket has several
-TOGETHER = 4 << 20  #: bytes of text of cells whose shingles are taken at once
+TOGETHER = 1 << 20  #: bytes of text whose shingles are taken at once
 
 _STEP, _REGION, _PLACE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xA24BAED4963EE407, 0xD6E8FEB86659FD93))
 
@@ -89,6 +89,18 @@ def shingles(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[n
     return r[head], s[head], np.diff(np.r_[head, len(s)]).astype(float), prints
 
 
+def elements(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, element, weight) as ``shingles`` gives them, from ``TOGETHER`` bytes of text at a time, a longer text by itself."""
+    out, at, n = [], 0, len(offs) - 1
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(offs, offs[at] + TOGETHER, "right")) - 1)
+        row, element, weight, _ = shingles(data[offs[at] : offs[end]], offs[at : end + 1] - offs[at], size)
+        out.append((row + at, element, weight))
+        at = end
+    row, element, weight = (np.concatenate(x) for x in zip(*out, strict=True))
+    return row, element, weight
+
+
 def _uniform(seed: np.ndarray) -> np.ndarray:
     return ((seed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
@@ -233,7 +245,7 @@ def _linked(similarity: float):
             while at < len(head):  # some cells at a time
                 end = max(at + 1, int(np.searchsorted(offs[until], offs[head[at]] + TOGETHER, "right")))
                 a, b = head[at], until[end - 1]
-                row, element, weight, _ = shingles(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                row, element, weight = elements(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 for i, j in zip(head[at:end], until[at:end], strict=True):
                     if not ask[i:j].any() or root[i:j].min() == root[i:j].max():
                         continue

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 from brute import lines, near_classes
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import decontaminate
+from millrace.llm import decontaminate, minhash
 
 
 def test_stages_one_by_one(spark, sf):
@@ -105,3 +108,33 @@ def test_stages_with_clashing_columns_and_odd_rows(spark, sf):
 def test_run_equals_the_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf).collect()
     assert out and out[0].asDict().keys() == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+
+
+def test_a_large_cell_is_cut_into_shingles_part_by_part():
+    rnd = np.random.default_rng(1)
+    texts = [" ".join(map(str, rnd.integers(0, 10**9, 1600))) for _ in range(500)]
+    texts[499] = texts[7]
+    cell = pa.RecordBatch.from_arrays([pa.array(np.zeros(500, np.int64)), pa.array(np.arange(500)), pa.array(np.arange(500)), pa.array([i in (7, 8) for i in range(500)]), pa.array(texts)], names=["cell", "_key", "root", "ask", "_text"])
+    tracemalloc.start()
+    out = [r for b in minhash._linked(0.8)(iter([cell])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out == [{"a": 7, "b": 499}]
+    assert peak < 15 * sum(map(len, texts))
+    data, offs = minhash.text_bytes(cell.column("_text"))
+    assert all(np.array_equal(x, y) for x, y in zip(minhash.elements(data, offs), minhash.shingles(data, offs)[:3], strict=True))
+
+
+def test_stages_hand_over_batches_of_few_bytes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    long = spark.range(0, 6000, 1, 1).selectExpr("id", "repeat('abcdefghij', 300) AS t")
+
+    def measured(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["n", "rows"])
+
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs.limit(5), sf)
+        got = long.mapInArrow(measured, "n long, rows long").collect()
+        assert sum(r.rows for r in got) == 6000 and max(r.n for r in got) < 5 << 20
