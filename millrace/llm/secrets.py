@@ -13,6 +13,9 @@ and made-up findings and harmless look-alikes of known formats. A held-back
 fifth calibrates the logits (a logistic fit) and sets the threshold: the
 highest that keeps a recall of ``RECALL`` among its findings, whatever it is,
 but for the look-alikes: where findings and these are apart, it lies between.
+Then all base spans of all whole texts are scored, and where the threshold
+keeps fewer than ``RECALL`` of these, it is lowered until it does. So the
+weights and the calibration come from the sample, the recall from every row.
 
 Spans are code points, end exclusive, as ``kind:start:end``. Texts are scanned
 whole, one pass, no shuffle.
@@ -48,6 +51,7 @@ BEFORE, INSIDE, AFTER, STEP = 32, 64, 16, 32
 WIDTH, EMBED, FILTERS = 5, 8, 16
 SAMPLE, PER_TEXT, MADE, RECALL = 2000, 8, 3000, 0.95
 AT_ONCE = 4096  #: candidates whose windows are held together
+TOP, STEPS = 40, 50  #: calibrated logits are cut off at +-TOP and counted in steps of 1 / STEPS
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -128,10 +132,19 @@ class Network:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return self._forward(x)[3] @ self.out + self.shift
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
+    def calibrated(self, x: np.ndarray) -> np.ndarray:
         parts = [self.logits(x[i : i + 256]) for i in range(0, len(x), 256)]
         z = np.concatenate(parts) if parts else np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -40, 40)))
+        return np.clip(self.slope * z + self.offset, -TOP, TOP)
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.calibrated(x)))
+
+    def highest(self, read: list[list[bytes]]) -> np.ndarray:
+        """The highest calibrated logit of each token's windows."""
+        if not read:
+            return np.zeros(0)
+        return np.maximum.reduceat(self.calibrated(codes(list(itertools.chain.from_iterable(read)))), np.cumsum([0, *map(len, read[:-1])]))
 
 
 def fit(x: np.ndarray, y: np.ndarray, passes: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 1) -> Network:
@@ -224,7 +237,43 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     got = sorted((r["draw"], r["w"], r["y"]) for r in some.mapInArrow(run, "draw long, w binary, y int").toLocalIterator())
     both = [(bytes(w), y) for _, w, y in got] + made_up(made)
     random.Random(2).shuffle(both)
-    return fit(codes([w for w, _ in both]), np.array([y for _, y in both], float))
+    return settled(docs, fit(codes([w for w, _ in both]), np.array([y for _, y in both], float)), text_col)
+
+
+def settled(docs: DataFrame, net: Network, text_col: str = "text") -> Network:
+    """``net``, its threshold lowered until it keeps ``RECALL`` of the base spans of all whole texts.
+
+    They are counted by their calibrated logits, so the threshold lies up to a
+    step below the highest that does; without base spans it stays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, read = np.zeros(2 * TOP * STEPS + 1, np.int64), []
+        for batch in batches:
+            for t in batch.column("t"):
+                text = t.as_py() or ""
+                for a, _, b in base_spans(text):
+                    read.append(windows(text, a, b))
+                    if len(read) == AT_ONCE:
+                        counts += _steps(net.highest(read))
+                        read = []
+        counts += _steps(net.highest(read))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["step", "n"])
+
+    found = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "step long, n long")
+    found = sorted((x["step"], x["n"]) for x in found.groupBy("step").agg(F.sum("n").alias("n")).collect())  # a row per step
+    below, allowed = 0, int((1 - RECALL) * sum(n for _, n in found))
+    for step, n in found:
+        below += n
+        if below > allowed:
+            net.threshold = min(net.threshold, float(1 / (1 + np.exp(TOP - step / STEPS + 1e-9))))
+            break
+    return net
+
+
+def _steps(logits: np.ndarray) -> np.ndarray:
+    return np.bincount(np.floor((logits + TOP) * STEPS).astype(np.int64), minlength=2 * TOP * STEPS + 1)
 
 
 def scan(docs: DataFrame, net: Network | None, text_col: str = "text", keep: dict | None = None) -> DataFrame:
@@ -246,9 +295,7 @@ def scan(docs: DataFrame, net: Network | None, text_col: str = "text", keep: dic
             for at in range(0, len(ask), AT_ONCE):
                 some = ask[at : at + AT_ONCE]
                 read = [windows(texts[i], a, b) for i, a, b in some]
-                p = net.probability(codes(list(itertools.chain.from_iterable(read))))
-                first = np.cumsum([0, *map(len, read[:-1])])
-                for (i, a, b), q in zip(some, np.maximum.reduceat(p, first), strict=True):
+                for (i, a, b), q in zip(some, 1 / (1 + np.exp(-net.highest(read))), strict=True):
                     if q >= net.threshold:
                         found[i].append((a, 3, b))
             out = [[{"kind": KINDS[k], "start": a, "end": b, "surface": t[a:b]} for a, k, b in sorted(f)] for f, t in zip(found, texts, strict=True)]

@@ -183,6 +183,19 @@ def test_the_threshold_keeps_its_recall():
     assert (p >= net.threshold).mean() >= secrets.RECALL
 
 
+def test_the_threshold_keeps_its_recall_over_all_rows(spark):
+    rnd = random.Random(5)
+    rows = [(i, f"so password = {''.join(rnd.choice('abcdefghij') for _ in range(8))} it is, " * 3) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (None, None)], "doc_id long, text string")
+    net = secrets.train(docs, sample=0, made=400)  # none of these findings is learnt from
+    read = [secrets.windows(t, a, b) for _, t in rows for a, _, b in secrets.base_spans(t)]
+    assert len(read) == 600
+    p = np.array([net.probability(secrets.codes(w)).max() for w in read])
+    assert (p >= net.threshold).mean() >= secrets.RECALL
+    again = net.threshold
+    assert secrets.settled(docs.limit(0), net).threshold == again == secrets.settled(docs.repartition(7), net).threshold
+
+
 # packing ------------------------------------------------------------------------
 
 
